@@ -1,0 +1,99 @@
+"""Splits that keep related records together.
+
+Records that share a site or an author, directly or through others, form a group; a group lies in
+one split. Groups come from `components.connected_components` over a graph of sites and authors
+(not of records, so a site with a third of all rows is one node). Groups are assigned in the order
+of their hash, after the few largest have taken their places.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from weftline.functions.names import person, site, split_name
+from weftline.operators.components import connected_components
+from weftline.session import Scratch
+
+SPLITS = ("train", "validation", "test")
+LARGE_SHARE = 0.002  # groups of at least this share of the records are placed first; at most 500 exist
+BUCKETS = 1024  # ranges of hash order
+
+
+def _node(kind: str, key: Column) -> Column:
+    return F.when(key.isNotNull(), F.xxhash64(F.lit(kind), key))
+
+
+def record_groups(spark: SparkSession, stress: DataFrame, flags: DataFrame) -> DataFrame:
+    """(raw_id, group_id, split) for each distinct raw_id of `stress`.
+
+    Rows repeated whole count once; a null raw_id is left out. Sites come from `flags`, with the host of
+    href for a null hostname. A record with neither site nor author is a group of its own. split is null
+    where it is none of train, validation and test. If one raw_id has several authors, all of them link.
+    """
+    keep = Scratch(spark, "groups")
+    hosts = flags.where("raw_id IS NOT NULL").select("raw_id", site(F.col("hostname"), F.col("href")).alias("site")).groupBy("raw_id").agg(F.min("site").alias("site"))
+    rows = (
+        stress.where("raw_id IS NOT NULL")
+        .select("raw_id", person(F.col("author")).alias("author"), split_name(F.col("split")).alias("split"))
+        .distinct()
+        .join(hosts, "raw_id", "left")
+        .select("raw_id", "split", _node("site", F.col("site")).alias("a"), _node("author", F.col("author")).alias("b"))
+    )
+    rows = keep.put(rows)
+    found = connected_components(spark, rows.select("a", "b"))
+    anchor = F.coalesce("a", "b", F.xxhash64(F.lit("raw"), F.col("raw_id")))
+    # A site without authors is no node of the graph: it is its own group.
+    tied = rows.withColumn("node", anchor).join(found, "node", "left").select("raw_id", "split", F.coalesce("component", "node").alias("group_id"))
+    return keep.put(tied.groupBy("raw_id").agg(F.min("group_id").alias("group_id"), F.min("split").alias("split")))
+
+
+def broken_groups(groups: DataFrame) -> DataFrame:
+    """(raw_id) of the records with a split whose group has more than one split."""
+    mixed = groups.where("split IS NOT NULL").groupBy("group_id").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high")
+    return groups.where("split IS NOT NULL").join(mixed, "group_id", "left_semi").select("raw_id")
+
+
+def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(raw_id, group_id, split): a new assignment near `shares`, each group whole in one split.
+
+    Groups of at least LARGE_SHARE of the records are placed first, largest first, where most is still
+    wanting. The others follow in the order of the hash of their id: each goes where the middle of its
+    rows falls in the running sum of what the splits still want. Depends only on ids and sizes.
+    """
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+    total = int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0])
+    want = {name: shares.get(name, 0.0) * total for name in SPLITS}
+    large = sizes.where(F.col("size") >= max(2.0, LARGE_SHARE * total)).orderBy(F.desc("size"), "group_id").collect()  # at most 1 / LARGE_SHARE rows
+    placed: dict[int, str] = {}
+    for row in large:
+        name = max(SPLITS, key=lambda s: (want[s], -SPLITS.index(s)))
+        placed[row["group_id"]] = name
+        want[name] -= row["size"]
+    left = {name: max(0.0, value) for name, value in want.items()}
+    room = sum(left.values()) or 1.0
+    order = F.xxhash64(F.lit("order"), F.col("group_id"))
+    rest = sizes.where(F.col("size") < max(2.0, LARGE_SHARE * total)).select("group_id", "size", order.alias("place"), F.shiftrightunsigned(order, 54).alias("bucket"))
+    filled = {r["bucket"]: r["size"] for r in rest.groupBy("bucket").agg(F.sum("size").alias("size")).collect()}  # BUCKETS rows
+    before, running = {}, 0
+    for bucket in range(BUCKETS):
+        before[bucket] = running
+        running += filled.get(bucket, 0)
+    start = F.element_at(F.array(*[F.lit(before[b]) for b in range(BUCKETS)]), F.col("bucket").cast("int") + 1)
+    inside = F.sum("size").over(W.partitionBy("bucket").orderBy("place", "group_id"))
+    middle = (start + inside - F.col("size") / 2) * (room / max(1, running))
+    chosen = F.when(middle < left["train"], "train").when(middle < left["train"] + left["validation"], "validation").otherwise("test")
+    spread = rest.withColumn("split", chosen).select("group_id", "split")
+    if placed:
+        spark = groups.sparkSession
+        spread = spread.unionAll(spark.createDataFrame(list(placed.items()), "group_id BIGINT, split STRING"))
+    return groups.select("raw_id", "group_id").join(spread, "group_id").select("raw_id", "group_id", "split")
+
+
+def split_report(groups: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(split, records, old_records, share): the new sizes beside those in use."""
+    new = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("records"))
+    old = groups.where("split IS NOT NULL").groupBy("split").agg(F.count(F.lit(1)).alias("old_records"))
+    joined = new.join(old, "split", "full").na.fill(0, ["records", "old_records"])
+    return joined.withColumn("share", F.round(F.col("records") / F.sum("records").over(W.partitionBy(F.lit(1))), 6))
