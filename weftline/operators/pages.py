@@ -1,0 +1,176 @@
+"""Pages as tables of lines, and what the corpus says about each line.
+
+`page_lines` reads each distinct payload of a site once. `line_evidence` counts, for each line form of
+a site, how many different pages of that site show it and how many sites have it: what stands on pages
+whatever they are about comes out as repeated, without a list of phrases. A line's *form* is its text
+with digits and the site's own name masked.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions.markup import payload_lines
+from weftline.functions.names import site
+
+PAGE_SCHEMA = (
+    "page_id BIGINT, site STRING, payload BIGINT, html BOOLEAN, title STRING, head BIGINT, bare BOOLEAN, texts ARRAY<STRING>, blocks ARRAY<STRING>,"
+    " tags ARRAY<INT>, linked ARRAY<INT>, code ARRAY<BOOLEAN>, keys ARRAY<BIGINT>"
+)
+_ARROW = pa.schema(
+    [
+        ("page_id", pa.int64()), ("site", pa.string()), ("payload", pa.int64()), ("html", pa.bool_()), ("title", pa.string()), ("head", pa.int64()), ("bare", pa.bool_()),
+        ("texts", pa.list_(pa.string())), ("blocks", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("linked", pa.list_(pa.int32())),
+        ("code", pa.list_(pa.bool_())), ("keys", pa.list_(pa.int64())),
+    ]
+)
+
+_DIGITS = re.compile(r"\d+")
+_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+PROSE_LINE = 60  # weighted characters of a line that counts as prose
+PROSE_PAGE = 200  # of such lines on a page that isn't bare
+
+
+def weight(text: str) -> int:
+    """Length of a text; a character of a script without blanks counts for two and a half."""
+    return len(text) + (0 if text.isascii() else int(1.5 * len(_WIDE.findall(text))))
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def key_of(text: str) -> int:
+    return signed(xxhash.xxh3_64_intdigest(text))
+
+
+class Masker:
+    """Forms of lines: digits and the words of the site's name are masked."""
+
+    def __init__(self) -> None:
+        self._names: dict[str, re.Pattern | None] = {}
+
+    def form(self, text: str, host: str | None) -> str:
+        text = _DIGITS.sub("#", text)
+        name = self._names.get(host or "", False)
+        if name is False:
+            words = [w for label in (host or "").split(".")[:-1] for w in label.split("-") if len(w) > 3]
+            name = re.compile("|".join(map(re.escape, sorted(words, key=len, reverse=True))), re.I) if words else None
+            if len(self._names) > 10_000:
+                self._names.clear()
+            self._names[host or ""] = name
+        return name.sub("@", text) if name else text
+
+
+def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    masker = Masker()
+    for batch in batches:
+        ids, hosts, payloads = (batch.column(k) for k in range(3))
+        for lo in range(0, batch.num_rows, 256):
+            rows: list[list] = [[] for _ in _ARROW]
+            for page, host, payload in zip(ids[lo : lo + 256].to_pylist(), hosts[lo : lo + 256].to_pylist(), payloads[lo : lo + 256].to_pylist()):
+                title, lines, html = payload_lines(payload)
+                headline = next((x.text for x in lines if x.block == "h1"), "") or title or (lines[0].text if lines else "")
+                prose = sum(w for x in lines if not x.code and 2 * x.linked < len(x.text) and (w := weight(x.text)) >= PROSE_LINE)
+                for column, value in zip(
+                    rows,
+                    (
+                        page, host, key_of(payload), html, title, key_of(headline), prose < PROSE_PAGE, [x.text for x in lines], [x.block for x in lines],
+                        [x.tags for x in lines], [x.linked for x in lines], [x.code for x in lines], [key_of(masker.form(x.text, host)) for x in lines],
+                    ),
+                ):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ARROW)], schema=_ARROW)
+
+
+def page_lines(raw: DataFrame) -> DataFrame:
+    """One row a raw row with a payload that isn't blank: its site, title and lines in order.
+
+    page_id is raw_id. head is the hash of the headline (first h1, else the title, else the first line);
+    bare tells a page without prose. Null and blank payloads have no row.
+    """
+    pages = raw.where("html_content IS NOT NULL AND html_content <> ''").select("raw_id", site(F.col("hostname"), F.col("href")).alias("site"), "html_content")
+    return pages.mapInArrow(read_pages, PAGE_SCHEMA).where(F.size("texts") > 0)
+
+
+def line_evidence(pages: DataFrame) -> DataFrame:
+    """(site, heads, facts ARRAY<STRUCT<key, pages, all, bare>>): the forms under more than one headline.
+
+    pages: different headlines of this site under which the form stands; all: the same over all sites;
+    bare: its share on pages without prose, over all sites. Versions of one page share their headline, so
+    they don't make each other's text look repeated, nor do copies on other sites. heads: different headlines
+    of the site. Forms found under a single headline have no entry.
+    """
+    seen = pages.where("html").select("site", "head", "bare", F.explode(F.array_distinct("keys")).alias("key"))
+    by_head = seen.groupBy("site", "key", "head").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("bare").cast("int")).alias("bare"))
+    by_site = by_head.groupBy("site", "key").agg(F.count(F.lit(1)).cast("int").alias("pages"))
+    overall = (
+        by_head.groupBy("key", "head")
+        .agg(F.sum("rows").alias("rows"), F.sum("bare").alias("bare"))
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).cast("int").alias("all"), (F.sum("bare") / F.sum("rows")).cast("float").alias("bare"))
+        .where("all > 1")
+    )
+    facts = by_site.join(overall, "key").groupBy("site").agg(F.collect_list(F.struct("key", "pages", "all", "bare")).alias("facts"))
+    heads = pages.where("html").groupBy("site").agg(F.countDistinct("head").cast("int").alias("heads"))
+    return heads.join(facts, "site", "left")
+
+
+FACTS_LIMIT = 2_000_000  # entries of evidence (24 bytes each) up to which it is broadcast
+
+
+def with_evidence(pages: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Pages with their site's heads and facts. The evidence is broadcast when it is small; else both sides are shuffled by site."""
+    entries = evidence.agg(F.coalesce(F.sum(F.size("facts")), F.lit(0))).collect()[0][0]
+    side = evidence.withColumnRenamed("site", "of_site")
+    if entries <= FACTS_LIMIT:
+        side = F.broadcast(side)
+    return pages.join(side, F.col("site").eqNullSafe(F.col("of_site")), "left").drop("of_site")
+
+
+# Lead-ins of links to other pages, and of visitors' remarks.
+_LEAD = re.compile(r"^(?:also read|related|popular now|more like this|read next|see also|you may also like|recommended|siehe auch|lire aussi|à lire aussi|ver también|関連記事)\s*[:：]", re.I)
+_REMARK = re.compile(r"^\S+ (?:wrote|writes|said|says|commented|schrieb|a écrit|escribió)\s?[:：]", re.I)
+_CRUMBS = re.compile(r"^[^›»>]{1,60}(?:\s[›»]\s[^›»]{1,60})+$")
+_CELL = re.compile(r"^#?[\d.,]+\s?\S{0,12}$")
+_MENU = re.compile(r"\s[|·•/]\s")
+
+
+def judge_lines(texts: list, blocks: list, linked: list, code: list, keys: list, bare: bool, heads: int, facts: dict) -> list[bool]:
+    """For each line of a page, whether the evidence leaves it in the body.
+
+    facts: form key to (pages, all, bare). Out go forms that stand under several headlines, links to other pages, menus, breadcrumbs and visitors' remarks. Sample code, table
+    cells, headings that only share their wording, and forms found mostly on pages without prose (messages
+    and filler, which are such a page's content) stay.
+    """
+    out = []
+    for text, block, link, sample, key in zip(texts, blocks, linked, code, keys):
+        length = len(text)
+        full = 10 * link >= 8 * length
+        if sample:
+            out.append(True)
+            continue
+        if _LEAD.match(text) or _REMARK.match(text) or _CRUMBS.match(text) or 2 * link >= length and _MENU.search(text) and length < 200:
+            out.append(False)
+            continue
+        fact = facts.get(key)
+        keep = True
+        if fact:
+            on, everywhere, share_bare = fact
+            share = on / heads if heads else 0.0
+            if not full and _CELL.match(text):
+                keep = True
+            elif block in ("h1", "h2") or block in ("h3", "h4", "h5", "h6") and "#" not in text and not re.search(r"\d", text):
+                keep = on < 3 or share < 0.15 or share_bare >= 0.6
+            elif share_bare >= 0.6 and not full:
+                keep = share < 0.3
+            elif on >= 2 and (share >= 0.03 or everywhere >= 3) or everywhere >= 3:
+                keep = False
+        out.append(keep)
+    return out
