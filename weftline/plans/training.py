@@ -1,0 +1,61 @@
+"""Queries of the core's operators for training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.operators import pieces, related_splits
+from weftline.session import setting, table
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    return related_splits.record_groups(spark, table(spark, folder, "raw_stress"), table(spark, folder, "quality_flags"))
+
+
+def _shares(spark: SparkSession, folder: str) -> dict[str, float]:
+    return {name: setting(spark, folder, f"share_{name}") for name in related_splits.SPLITS}
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose group has more than one split."""
+    return related_splits.broken_groups(_groups(spark, folder))
+
+
+def p3_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The new split of each record."""
+    return related_splits.assign_splits(_groups(spark, folder), _shares(spark, folder))
+
+
+def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the new splits and of those in use."""
+    groups = _groups(spark, folder)
+    return related_splits.split_report(groups, related_splits.assign_splits(groups, _shares(spark, folder)))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of oversized blocks and results."""
+    limits = [int(setting(spark, folder, n)) for n in ("block_limit", "result_limit", "piece_overlap")]
+    return pieces.split_all(table(spark, folder, "blocks"), table(spark, folder, "candidate_results"), *limits)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items over their limit."""
+    return p5_pieces(spark, folder).where("piece = 0").select("item_kind", "item_id", "cut_kind")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_assignment, p3_shares, p5_found, p5_pieces)}
+
+_ITEMS = r"""
+WITH lim AS (SELECT max(amount) FILTER (param = 'block_limit') AS b, max(amount) FILTER (param = 'result_limit') AS r FROM run_config),
+blk AS (SELECT 'block' AS item_kind, block_uid AS item_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text, b AS room FROM blocks, lim),
+res AS (
+  SELECT 'result' AS item_kind, result_id AS item_id,
+    array_to_string(list_filter(list_transform(list_sort(list_transform(blocks, lambda x: {'o': x.block_order, 'i': x.block_id, 't': x.text})),
+      lambda x: regexp_replace(x.t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda t: t <> ''), chr(10) || chr(10)) AS text, r AS room
+  FROM candidate_results, lim),
+items AS (SELECT * FROM blk WHERE length(text) > room UNION ALL SELECT * FROM res WHERE length(text) > room)
+"""
+ORACLE = {
+    "p5_found": _ITEMS
+    + r"""SELECT item_kind, item_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\s\p{Z}。！？]'), lambda x: length(x))) > room THEN 'forced' ELSE 'natural' END AS cut_kind FROM items""",
+}
