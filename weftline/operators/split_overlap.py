@@ -1,0 +1,232 @@
+"""Records of the evaluation splits that also occur, exactly or nearly, in the training split.
+
+Bodies are normalised to words. Bodies equal word for word are one text, so copies cost nothing. Texts
+that share a long run of words are routed to each other; each shard of evaluation texts then becomes one
+Aho-Corasick automaton over their passages, which scans every training text routed to the shard. Matched
+intervals are merged into the coverage of each evaluation text, and what is covered enough is checked
+exactly: words in the same order, by the longest common subsequence.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions.names import site as site_of
+from weftline.functions.names import split_name
+from weftline.operators.pages import judge_lines, key_of, line_evidence, page_lines, with_evidence
+from weftline.session import Scratch
+
+RUN = 12  # words of the runs that route texts to each other
+RUN_WIDE = 36  # characters instead, of texts in scripts without blanks
+WINDOW = 16  # every common run of RUN + WINDOW - 1 words routes
+PASSAGE = 5  # words of an automaton's passage
+COVERED = 0.3  # share of an evaluation text that passages must cover before the exact check
+SHARD = 400  # evaluation texts in one automaton
+SCAN = 5_000  # training texts that one task scans for a shard, about
+_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
+
+
+def body_words(text: str) -> list[str]:
+    """Words in lower case without punctuation; a character of a script without blanks is a word."""
+    return _WORD.findall(text.casefold())
+
+
+def route_seeds(words: list[str]) -> np.ndarray:
+    """Hashes of the runs of words that are least in some window of WINDOW runs; a text shorter than that has its least run."""
+    k = RUN_WIDE if sum(len(w) == 1 and _WIDE.match(w) is not None for w in words[:200]) * 2 > min(len(words), 200) else RUN
+    if len(words) < k:
+        return np.zeros(0, np.int64)
+    ids = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    runs = np.zeros(len(ids) - k + 1, np.uint64)
+    for i in range(k):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(runs)]
+    runs ^= runs >> np.uint64(29)
+    runs *= np.uint64(0xBF58476D1CE4E5B9)
+    runs ^= runs >> np.uint64(32)
+    if len(runs) <= WINDOW:
+        return runs.min(keepdims=True).view(np.int64)
+    low = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).min(axis=1)
+    return np.unique(low).view(np.int64)
+
+
+def common_words(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows."""
+    at: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(a):
+        at[w] |= 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & at.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+_BODY_ARROW = pa.schema([("raw_id", pa.int64()), ("site", pa.string()), ("size", pa.int32()), ("mark", pa.int64()), ("text", pa.string()), ("seeds", pa.list_(pa.int64()))])
+_BODY_DDL = "raw_id BIGINT, site STRING, size INT, mark BIGINT, text STRING, seeds ARRAY<BIGINT>"
+
+
+def _body_batches(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host: str | None = None
+        known: dict | None = None
+        for batch in batches:
+            names = batch.schema.names
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                column = {n: part.column(i) for i, n in enumerate(names)}
+                plain = {n: column[n].to_pylist() for n in names if n != "facts"}
+                out: list[tuple] = []
+                for i in range(part.num_rows):
+                    if known is None or plain["site"][i] != host:
+                        host, known = plain["site"][i], {}
+                        if column["facts"][i].is_valid:
+                            f = column["facts"][i].values
+                            known = dict(zip(f.field("key").to_pylist(), zip(f.field("pages").to_pylist(), f.field("all").to_pylist(), f.field("bare").to_pylist())))
+                    texts = plain["texts"][i]
+                    keep = judge_lines(texts, *(plain[n][i] for n in ("blocks", "linked", "code", "keys", "bare")), plain["heads"][i] or 0, known)
+                    body = " ".join(t for t, k in zip(texts, keep) if k)
+                    if len(body) >= least:
+                        words = body_words(body)
+                        text = " ".join(words)
+                        out.append((plain["page_id"][i], host, len(body), key_of(text), text, route_seeds(words)))
+                columns = list(zip(*out)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BODY_ARROW)], schema=_BODY_ARROW)
+
+    return run
+
+
+def normal_bodies(spark: SparkSession, raw: DataFrame, least: int) -> DataFrame:
+    """(raw_id, site, size, mark, text, seeds) of the records whose body has at least `least` characters."""
+    keep = Scratch(spark, "normal")
+    pages = keep.put(page_lines(raw))
+    evidence = keep.put(line_evidence(pages))
+    joined = with_evidence(pages, evidence).select("page_id", "site", "bare", "heads", "facts", "texts", "blocks", "linked", "code", "keys")
+    out = keep.put(joined.mapInArrow(_body_batches(least), _BODY_DDL))
+    keep.drop(pages)
+    return out
+
+
+def _scan_batches(least_same: float):
+    import ahocorasick
+
+    def build(evals: list[tuple[int, list[str]]]):
+        passages: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for e, (_, words) in enumerate(evals):
+            for p in range(max(1, len(words) - PASSAGE + 1)):
+                passages[" " + " ".join(words[p : p + PASSAGE]) + " "].append((e, p))
+        automaton = ahocorasick.Automaton()
+        for passage, owners in passages.items():
+            automaton.add_word(passage, owners)
+        automaton.make_automaton()
+        return automaton
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: int | None = None
+        evals: list[tuple[int, list[str]]] = []
+        automaton = None
+        for batch in batches:
+            out: list[tuple] = []
+            for number, train, mark, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if number != shard:
+                    shard, evals, automaton = number, [], None
+                if not train:
+                    evals.append((mark, text.split(" ")))
+                    continue
+                if automaton is None:
+                    if not evals:
+                        continue
+                    automaton = build(evals)
+                places: dict[int, set[int]] = defaultdict(set)
+                for _, owners in automaton.iter(f" {text} "):
+                    for e, p in owners:
+                        places[e].add(p)
+                words = None
+                for e, found in places.items():
+                    other, mine = evals[e]
+                    if len(found) + PASSAGE - 1 < COVERED * len(mine) / PASSAGE:
+                        continue
+                    covered = end = 0
+                    for p in sorted(found):
+                        stop = min(p + PASSAGE, len(mine))
+                        covered += stop - max(p, end) if stop > end else 0
+                        end = max(end, stop)
+                    if covered < COVERED * len(mine):
+                        continue
+                    words = words or text.split(" ")
+                    longer = max(len(words), len(mine))
+                    if min(len(words), len(mine)) < least_same * longer:
+                        continue
+                    same = common_words(mine, words)
+                    if same >= least_same * longer:
+                        out.append((other, mark, covered / len(mine), same / longer))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["eval_mark", "train_mark", "covered", "same"])
+
+    return run
+
+
+class SplitOverlap:
+    """Overlaps between the evaluation splits and train.
+
+    Records without a split, and those whose body has fewer than `least` characters, take no part. Bodies
+    are those `operators.pages` leaves. members: (raw_id, site, split, mark). links: (eval_mark, train_mark,
+    covered, same), pairs of different or equal texts, where `same` of the longer one's words stand in the
+    other in the same order.
+    """
+
+    def __init__(self, spark: SparkSession, raw: DataFrame, stress: DataFrame, flags: DataFrame, least: int, least_same: float) -> None:
+        keep = Scratch(spark, "overlap")
+        bodies = normal_bodies(spark, raw, least)
+        splits = stress.where("raw_id IS NOT NULL").select("raw_id", split_name(F.col("split")).alias("split")).where("split IS NOT NULL").distinct()
+        sites = flags.where("raw_id IS NOT NULL").select("raw_id", site_of(F.col("hostname"), F.col("href")).alias("site")).groupBy("raw_id").agg(F.min("site").alias("site"))
+        self.members = keep.put(bodies.select("raw_id", "mark").join(splits, "raw_id").join(sites, "raw_id", "left"))
+        train = F.col("split") == "train"
+        kinds = self.members.groupBy("mark").agg(F.min("raw_id").alias("raw_id"), F.max(train).alias("train"), F.max(~train).alias("eval"))
+        texts = keep.put(bodies.drop("mark").join(kinds, "raw_id").select("mark", "train", "eval", "text", "seeds"))
+        seeds = texts.select("mark", "train", "eval", F.explode("seeds").alias("seed"))
+        route = seeds.where("eval").select("seed", F.col("mark").alias("e")).join(seeds.where("train").select("seed", F.col("mark").alias("t")), "seed").where("e <> t")
+        route = keep.put(route.select("e", "t").distinct())
+        found = route.select("e").distinct()
+        shards = max(1, -(-found.count() // SHARD))
+        shard = F.pmod(F.xxhash64(F.lit("shard"), F.col("e")), F.lit(shards)).cast("int")
+        routed = keep.put(route.select(shard.alias("shard"), "t").distinct())
+        # A shard to which many training texts lead is scanned by several tasks, each with the shard's automaton.
+        lanes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCAN).cast("int").alias("lanes"))
+        scanned = routed.join(lanes, "shard").join(texts.selectExpr("mark AS t", "text"), "t")
+        scanned = scanned.select("shard", F.pmod(F.xxhash64("t"), F.col("lanes")).cast("int").alias("lane"), F.lit(True).alias("train"), F.col("t").alias("mark"), "text")
+        held = found.join(texts.selectExpr("mark AS e", "text"), "e").select(shard.alias("shard"), F.col("e").alias("mark"), "text").join(lanes, "shard")
+        held = held.select("shard", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("train"), "mark", "text")
+        # Sorted, a lane's evaluation texts come before its training texts, which then stream past the automaton.
+        ordered = held.unionAll(scanned).repartition("shard", "lane").sortWithinPartitions("shard", "lane", "train")
+        number = F.col("shard") * F.lit(1_000_000) + F.col("lane")
+        near = ordered.select(number.alias("number"), "train", "mark", "text").mapInArrow(_scan_batches(least_same), "eval_mark BIGINT, train_mark BIGINT, covered DOUBLE, same DOUBLE")
+        equal = texts.where("eval AND train").selectExpr("mark AS eval_mark", "mark AS train_mark", "1.0D AS covered", "1.0D AS same")
+        self.links = keep.put(near.unionAll(equal))
+
+    def pairs(self) -> DataFrame:
+        """(eval_id, train_id, split, eval_site, train_site, covered, same) of all records that overlap."""
+        ev = self.members.where("split <> 'train'").selectExpr("mark AS eval_mark", "raw_id AS eval_id", "split", "site AS eval_site")
+        tr = self.members.where("split = 'train'").selectExpr("mark AS train_mark", "raw_id AS train_id", "site AS train_site")
+        return self.links.join(ev, "eval_mark").join(tr, "train_mark").select("eval_id", "train_id", "split", "eval_site", "train_site", "covered", "same")
+
+    def report(self) -> DataFrame:
+        """(split, site, records, pairs, same_site): evaluation records with an overlap, and their pairs, for each split and site.
+
+        Training records are counted per text and site before they meet the evaluation records.
+        """
+        tr = self.members.where("split = 'train'").groupBy(F.col("mark").alias("train_mark"), F.col("site").alias("train_site")).agg(F.count(F.lit(1)).alias("n"))
+        ev = self.members.where("split <> 'train'").selectExpr("mark AS eval_mark", "raw_id", "split", "site")
+        met = self.links.join(tr, "train_mark").groupBy("eval_mark", "train_site").agg(F.sum("n").alias("n"))
+        each = ev.join(met, "eval_mark").groupBy("split", "site", "raw_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("train_site") == F.col("site"), F.col("n")).otherwise(0)).alias("own"))
+        return each.groupBy("split", "site").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("pairs"), F.sum("own").alias("same_site"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.operators import pieces, related_splits
+from weftline.operators.split_overlap import SplitOverlap
 from weftline.session import setting, table
 
 
@@ -43,7 +45,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece = 0").select("item_kind", "item_id", "cut_kind")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_assignment, p3_shares, p5_found, p5_pieces)}
+def _overlap(spark: SparkSession, folder: str) -> SplitOverlap:
+    least, same = int(setting(spark, folder, "overlap_min_body")), setting(spark, folder, "overlap_min_same")
+    return SplitOverlap(spark, table(spark, folder, "raw"), table(spark, folder, "raw_stress"), table(spark, folder, "quality_flags"), least, same)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of an evaluation record and a training record with nearly the same body."""
+    pairs = _overlap(spark, folder).pairs()
+    return pairs.select(F.least("eval_id", "train_id").alias("raw_id_a"), F.greatest("eval_id", "train_id").alias("raw_id_b")).distinct()
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping records and pairs for each split and site."""
+    return _overlap(spark, folder).report()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_assignment, p3_shares, p5_found, p5_pieces, p6_found, p6_report)}
 
 _ITEMS = r"""
 WITH lim AS (SELECT max(amount) FILTER (param = 'block_limit') AS b, max(amount) FILTER (param = 'result_limit') AS r FROM run_config),
