@@ -8,6 +8,7 @@ text, which block holds it, and whether it is sample code.
 
 from __future__ import annotations
 
+import html
 import re
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -38,6 +39,7 @@ class Line(NamedTuple):
     tags: int  # tags seen since the line before
     linked: int  # characters inside links
     code: bool  # wholly inside sample code
+    plain: str | None = None  # the text without its sample code, where only a part is that
 
 
 class _LineReader(HTMLParser):
@@ -47,7 +49,9 @@ class _LineReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.title = ""
+        self.notice = ""
         self._parts: list[str] = []
+        self._prose: list[str] = []
         self._open: list[str] = []
         self._hidden = ""
         self._in_title = False
@@ -60,9 +64,11 @@ class _LineReader(HTMLParser):
             self._parts.clear()
             if text:
                 block = self._open[-1] if self._open else ""
-                self.lines.append(Line(text, block, self._tags, min(self._linked, len(text)), self._code > 0 and self._plain == 0))
+                mixed = " ".join("".join(self._prose).split()) if self._code and self._plain else None
+                self.lines.append(Line(text, block, self._tags, min(self._linked, len(text)), self._code > 0 and self._plain == 0, mixed))
                 self._tags = 0
             self._linked = self._code = self._plain = 0
+            self._prose.clear()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self._hidden:
@@ -118,8 +124,11 @@ class _LineReader(HTMLParser):
         if self._hidden:
             if self._in_title:
                 self.title += data
+            elif self._hidden == "noscript":
+                self.notice += data
             return
         self._parts.append(data)
+        self._prose.append(" " if self._sample else data)
         if data.isspace():
             return
         if self._link:
@@ -139,12 +148,12 @@ def is_html(payload: str | None) -> bool:
     return bool(payload) and HTML_MARK.search(payload) is not None
 
 
-def html_lines(payload: str) -> tuple[str, list[Line]]:
-    """Title and visible lines of an HTML payload, in order."""
+def html_lines(payload: str) -> tuple[str, list[Line], str]:
+    """Title and visible lines of an HTML payload, in order, and what it says where scripts don't run."""
     reader = _LineReader()
     reader.feed(payload)
     reader.finish()
-    return " ".join(reader.title.split()), reader.lines
+    return " ".join(reader.title.split()), reader.lines, " ".join(reader.notice.split())
 
 
 _FENCE = re.compile(r"^\s{0,3}(```|~~~)")
@@ -161,7 +170,7 @@ def text_lines(payload: str) -> tuple[str, list[Line]]:
     """
     out: list[Line] = []
     fenced = False
-    for raw in payload.splitlines():
+    for raw in (html.unescape(payload) if "&" in payload else payload).splitlines():
         if _FENCE.match(raw):
             fenced = not fenced
             continue
@@ -177,14 +186,15 @@ def text_lines(payload: str) -> tuple[str, list[Line]]:
         linked = sum(len(m) for m in _LINK.findall(body)) if "](" in body else 0
         text = " ".join((_LINK.sub(r"\1", body) if linked else body).split())
         if text:
-            out.append(Line(text, block, 0, min(linked, len(text)), _INLINE_CODE.fullmatch(text) is not None))
+            code = _INLINE_CODE.sub(" ", text) if "`" in text else text
+            out.append(Line(text, block, 0, min(linked, len(text)), code.isspace(), code if code is not text and not code.isspace() else None))
     return "", out
 
 
-def payload_lines(payload: str | None) -> tuple[str, list[Line], bool]:
-    """Title, lines and whether the payload is HTML; null and blank payloads have no lines."""
+def payload_lines(payload: str | None) -> tuple[str, list[Line], str, bool]:
+    """Title, lines, notice for browsers without scripts, and whether the payload is HTML; null and blank payloads have no lines."""
     if not payload or payload.isspace():
-        return "", [], False
+        return "", [], "", False
     if is_html(payload):
         return *html_lines(payload), True
-    return *text_lines(payload), False
+    return *text_lines(payload), "", False

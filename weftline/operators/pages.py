@@ -20,14 +20,14 @@ from weftline.functions.markup import payload_lines
 from weftline.functions.names import site
 
 PAGE_SCHEMA = (
-    "page_id BIGINT, site STRING, payload BIGINT, html BOOLEAN, title STRING, head BIGINT, bare BOOLEAN, texts ARRAY<STRING>, blocks ARRAY<STRING>,"
-    " tags ARRAY<INT>, linked ARRAY<INT>, code ARRAY<BOOLEAN>, keys ARRAY<BIGINT>"
+    "page_id BIGINT, site STRING, payload BIGINT, html BOOLEAN, title STRING, notice STRING, head BIGINT, bare BOOLEAN, texts ARRAY<STRING>, blocks ARRAY<STRING>,"
+    " tags ARRAY<INT>, linked ARRAY<INT>, code ARRAY<BOOLEAN>, plain ARRAY<STRING>, keys ARRAY<BIGINT>"
 )
 _ARROW = pa.schema(
     [
-        ("page_id", pa.int64()), ("site", pa.string()), ("payload", pa.int64()), ("html", pa.bool_()), ("title", pa.string()), ("head", pa.int64()), ("bare", pa.bool_()),
+        ("page_id", pa.int64()), ("site", pa.string()), ("payload", pa.int64()), ("html", pa.bool_()), ("title", pa.string()), ("notice", pa.string()), ("head", pa.int64()), ("bare", pa.bool_()),
         ("texts", pa.list_(pa.string())), ("blocks", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("linked", pa.list_(pa.int32())),
-        ("code", pa.list_(pa.bool_())), ("keys", pa.list_(pa.int64())),
+        ("code", pa.list_(pa.bool_())), ("plain", pa.list_(pa.string())), ("keys", pa.list_(pa.int64())),
     ]
 )
 
@@ -75,14 +75,14 @@ def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 256):
             rows: list[list] = [[] for _ in _ARROW]
             for page, host, payload in zip(ids[lo : lo + 256].to_pylist(), hosts[lo : lo + 256].to_pylist(), payloads[lo : lo + 256].to_pylist()):
-                title, lines, html = payload_lines(payload)
+                title, lines, notice, html = payload_lines(payload)
                 headline = next((x.text for x in lines if x.block == "h1"), "") or title or (lines[0].text if lines else "")
                 prose = sum(w for x in lines if not x.code and 2 * x.linked < len(x.text) and (w := weight(x.text)) >= PROSE_LINE)
                 for column, value in zip(
                     rows,
                     (
-                        page, host, key_of(payload), html, title, key_of(headline), prose < PROSE_PAGE, [x.text for x in lines], [x.block for x in lines],
-                        [x.tags for x in lines], [x.linked for x in lines], [x.code for x in lines], [key_of(masker.form(x.text, host)) for x in lines],
+                        page, host, key_of(payload), html, title, notice, key_of(headline), prose < PROSE_PAGE, [x.text for x in lines], [x.block for x in lines],
+                        [x.tags for x in lines], [x.linked for x in lines], [x.code for x in lines], [x.plain for x in lines], [key_of(masker.form(x.text, host)) for x in lines],
                     ),
                 ):
                     column.append(value)
@@ -93,10 +93,10 @@ def page_lines(raw: DataFrame) -> DataFrame:
     """One row a raw row with a payload that isn't blank: its site, title and lines in order.
 
     page_id is raw_id. head is the hash of the headline (first h1, else the title, else the first line);
-    bare tells a page without prose. Null and blank payloads have no row.
+    bare tells a page without prose. A page that shows nothing has no lines. Null and blank payloads have no row.
     """
-    pages = raw.where("html_content IS NOT NULL AND html_content <> ''").select("raw_id", site(F.col("hostname"), F.col("href")).alias("site"), "html_content")
-    return pages.mapInArrow(read_pages, PAGE_SCHEMA).where(F.size("texts") > 0)
+    pages = raw.where(F.col("html_content").rlike(r"(?U)\S")).select("raw_id", site(F.col("hostname"), F.col("href")).alias("site"), "html_content")
+    return pages.mapInArrow(read_pages, PAGE_SCHEMA)
 
 
 def line_evidence(pages: DataFrame) -> DataFrame:
