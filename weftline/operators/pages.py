@@ -33,6 +33,7 @@ _ARROW = pa.schema(
 
 _DIGITS = re.compile(r"\d+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+MASKED = 120  # characters up to which a line's form is masked; longer lines stand for themselves
 PROSE_LINE = 60  # weighted characters of a line that counts as prose
 PROSE_PAGE = 200  # of such lines on a page that isn't bare
 
@@ -57,6 +58,8 @@ class Masker:
         self._names: dict[str, re.Pattern | None] = {}
 
     def form(self, text: str, host: str | None) -> str:
+        if len(text) > MASKED:
+            return text
         text = _DIGITS.sub("#", text)
         name = self._names.get(host or "", False)
         if name is False:
@@ -99,13 +102,18 @@ def page_lines(raw: DataFrame) -> DataFrame:
     return pages.mapInArrow(read_pages, PAGE_SCHEMA)
 
 
+SITE_SHARE = 0.03
+CORPUS_SHARE = 0.001
+
+
 def line_evidence(pages: DataFrame) -> DataFrame:
-    """(site, heads, facts ARRAY<STRUCT<key, pages, all, bare>>): the forms under more than one headline.
+    """(site, heads, facts ARRAY<STRUCT<key, pages, wide, bare>>): the forms that stand under many headlines.
 
-    pages: different headlines of this site under which the form stands; all: the same over all sites;
+    pages: different headlines of this site under which the form stands; wide: whether many of all do;
     bare: its share on pages without prose, over all sites. Versions of one page share their headline, so
     they don't make each other's text look repeated, nor do copies on other sites. heads: different headlines
-    of the site. Forms found under a single headline have no entry.
+    of the site. A form has an entry where it can decide: under two headlines or more that are SITE_SHARE of
+    the site's, or under CORPUS_SHARE of all headlines (3 at least).
     """
     seen = pages.where("html").select("site", "head", "bare", F.explode(F.array_distinct("keys")).alias("key"))
     by_head = seen.groupBy("site", "key", "head").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("bare").cast("int")).alias("bare"))
@@ -117,11 +125,35 @@ def line_evidence(pages: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("int").alias("all"), (F.sum("bare") / F.sum("rows")).cast("float").alias("bare"))
         .where("all > 1")
     )
-    facts = by_site.join(overall, "key").groupBy("site").agg(F.collect_list(F.struct("key", "pages", "all", "bare")).alias("facts"))
     heads = pages.where("html").groupBy("site").agg(F.countDistinct("head").cast("int").alias("heads"))
+    least = F.greatest(F.lit(3.0), F.lit(CORPUS_SHARE) * pages.where("html").agg(F.approx_count_distinct("head", 0.01)).collect()[0][0])
+    often = overall.withColumn("wide", F.col("all") >= least)
+    decisive = by_site.join(often, "key").where("wide OR pages > 1").join(heads, "site")
+    decisive = decisive.where(F.col("wide") | (F.col("pages") >= F.lit(SITE_SHARE) * F.col("heads")))
+    facts = decisive.groupBy("site").agg(F.collect_list(F.struct("key", "pages", "wide", "bare")).alias("facts"))
     return heads.join(facts, "site", "left")
 
 
+class SiteFacts:
+    """Facts of sites by host, kept for the sites met last in a worker."""
+
+    def __init__(self, most: int = 4000) -> None:
+        self.most = most
+        self.known: dict = {}
+
+    def of(self, host: str | None, column: pa.ListArray, i: int) -> dict:
+        found = self.known.get(host)
+        if found is None:
+            found = {}
+            if column[i].is_valid:
+                f = column[i].values
+                found = dict(zip(f.field("key").to_pylist(), zip(f.field("pages").to_pylist(), f.field("wide").to_pylist(), f.field("bare").to_pylist())))
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[host] = found
+        return found
+
+
 FACTS_LIMIT = 2_000_000  # entries of evidence (24 bytes each) up to which it is broadcast
 
 
@@ -145,32 +177,33 @@ _MENU = re.compile(r"\s[|·•/]\s")
 def judge_lines(texts: list, blocks: list, linked: list, code: list, keys: list, bare: bool, heads: int, facts: dict) -> list[bool]:
     """For each line of a page, whether the evidence leaves it in the body.
 
-    facts: form key to (pages, all, bare). Out go forms that stand under several headlines, links to other pages, menus, breadcrumbs and visitors' remarks. Sample code, table
+    facts: form key to (pages, wide, bare). Out go forms that stand under several headlines, links to other pages, menus, breadcrumbs and visitors' remarks. Sample code, table
     cells, headings that only share their wording, and forms found mostly on pages without prose (messages
     and filler, which are such a page's content) stay.
     """
     out = []
     for text, block, link, sample, key in zip(texts, blocks, linked, code, keys):
-        length = len(text)
-        full = 10 * link >= 8 * length
         if sample:
             out.append(True)
             continue
-        if _LEAD.match(text) or _REMARK.match(text) or _CRUMBS.match(text) or 2 * link >= length and _MENU.search(text) and length < 200:
+        length = len(text)
+        start = text[:40]
+        if (":" in start or "：" in start) and (_LEAD.match(text) or _REMARK.match(text)) or "›" in start and _CRUMBS.match(text) or link and 2 * link >= length and length < 200 and _MENU.search(text):
             out.append(False)
             continue
         fact = facts.get(key)
-        keep = True
-        if fact:
-            on, everywhere, share_bare = fact
-            share = on / heads if heads else 0.0
-            if not full and _CELL.match(text):
-                keep = True
-            elif block in ("h1", "h2") or block in ("h3", "h4", "h5", "h6") and "#" not in text and not re.search(r"\d", text):
-                keep = on < 3 or share < 0.15 or share_bare >= 0.6
-            elif share_bare >= 0.6 and not full:
-                keep = share < 0.3
-            elif on >= 2 and (share >= 0.03 or everywhere >= 3) or everywhere >= 3:
-                keep = False
-        out.append(keep)
+        if fact is None:
+            out.append(True)
+            continue
+        on, wide, share_bare = fact
+        share = on / heads if heads else 0.0
+        full = 10 * link >= 8 * length
+        if not full and length < 24 and _CELL.match(text):
+            out.append(True)
+        elif block in ("h1", "h2") or block in ("h3", "h4", "h5", "h6") and not any(c.isdigit() for c in text):
+            out.append(on < 3 or share < 0.15 or share_bare >= 0.6)
+        elif share_bare >= 0.6 and not full:
+            out.append(share < 0.3)
+        else:
+            out.append(not (wide or on >= 2 and share >= SITE_SHARE))
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.names import site as site_of
 from weftline.functions.names import split_name
-from weftline.operators.pages import judge_lines, key_of, line_evidence, page_lines, with_evidence
+from weftline.operators.pages import SiteFacts, judge_lines, key_of, line_evidence, page_lines, with_evidence
 from weftline.session import Scratch
 
 RUN = 12  # words of the runs that route texts to each other
@@ -77,8 +77,7 @@ _BODY_DDL = "raw_id BIGINT, site STRING, size INT, mark BIGINT, text STRING, see
 
 def _body_batches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host: str | None = None
-        known: dict | None = None
+        facts = SiteFacts()
         for batch in batches:
             names = batch.schema.names
             for lo in range(0, batch.num_rows, 512):
@@ -87,11 +86,8 @@ def _body_batches(least: int):
                 plain = {n: column[n].to_pylist() for n in names if n != "facts"}
                 out: list[tuple] = []
                 for i in range(part.num_rows):
-                    if known is None or plain["site"][i] != host:
-                        host, known = plain["site"][i], {}
-                        if column["facts"][i].is_valid:
-                            f = column["facts"][i].values
-                            known = dict(zip(f.field("key").to_pylist(), zip(f.field("pages").to_pylist(), f.field("all").to_pylist(), f.field("bare").to_pylist())))
+                    host = plain["site"][i]
+                    known = facts.of(host, column["facts"], i)
                     texts = plain["texts"][i]
                     keep = judge_lines(texts, *(plain[n][i] for n in ("blocks", "linked", "code", "keys", "bare")), plain["heads"][i] or 0, known)
                     body = " ".join(t for t, k in zip(texts, keep) if k)
