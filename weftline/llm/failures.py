@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.pages import judge_lines, line_evidence, page_lines, weight, with_evidence
+from weftline.operators.pages import SiteFacts, judge_lines, line_evidence, page_lines, weight, with_evidence
 from weftline.session import Scratch
 
 SAMPLE = 16_000  # pages that the fit and its validation may see together
@@ -112,18 +112,13 @@ def describe(title: str, notice: str, texts: list, linked: list, code: list, pla
     return sorted({_slot(g) for g in grams}), holes, hit
 
 
-def _pages_out(batch: pa.RecordBatch) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
+def _pages_out(batch: pa.RecordBatch, facts: SiteFacts) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
     names = batch.schema.names
     column = {n: batch.column(i) for i, n in enumerate(names)}
     plain = {n: column[n].to_pylist() for n in names if n != "facts"}
-    host: str | None = None
-    known: dict | None = None
     for i in range(batch.num_rows):
-        if known is None or plain["site"][i] != host:
-            host, known = plain["site"][i], {}
-            if column["facts"][i].is_valid:
-                f = column["facts"][i].values
-                known = dict(zip(f.field("key").to_pylist(), zip(f.field("pages").to_pylist(), f.field("all").to_pylist(), f.field("bare").to_pylist())))
+        host = plain["site"][i]
+        known = facts.of(host, column["facts"], i)
         texts = plain["texts"][i]
         keep = judge_lines(texts, *(plain[n][i] for n in ("blocks", "linked", "code", "keys", "bare")), plain["heads"][i] or 0, known)
         slots, holes, hit = describe(plain["title"][i] or "", plain["notice"][i] or "", texts, plain["linked"][i], plain["code"][i], plain["plain"][i], keep)
@@ -131,8 +126,9 @@ def _pages_out(batch: pa.RecordBatch) -> Iterator[tuple[int, str, bool, list[int
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    facts = SiteFacts()
     for batch in batches:
-        rows = list(_pages_out(batch))
+        rows = list(_pages_out(batch, facts))
         columns = list(zip(*rows)) if rows else [[]] * 6
         types = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["raw_id", "site", "flag", "slots", "holes", "hit"])
@@ -225,12 +221,13 @@ class FailurePages:
         weights, bias = self.model.weights, self.model.bias
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            facts = SiteFacts()
             model = Logistic()
             model.weights, model.bias = weights, bias
             full = {_slot(f"size f {n}") for n in range(13)}
             for batch in batches:
                 ids, scores, failed = [], [], []
-                for raw_id, _, _, slots, holes, _ in _pages_out(batch):
+                for raw_id, _, _, slots, holes, _ in _pages_out(batch, facts):
                     score = model.score(slots)
                     prose = not full.isdisjoint(slots)
                     ids.append(raw_id)

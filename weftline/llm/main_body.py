@@ -18,38 +18,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.pages import judge_lines, line_evidence, page_lines, weight, with_evidence
+from weftline.operators.pages import SiteFacts, judge_lines, line_evidence, page_lines, weight, with_evidence
 from weftline.session import Scratch
 
 SIGMA = 1.5  # lines, of the Gaussian
 REACH = 6  # lines beside a region that still belong to it
-_KERNEL = np.exp(-np.arange(-4, 5) ** 2 / (2 * SIGMA**2))
-_KERNEL /= _KERNEL.sum()
-
-
-def split_point(values: np.ndarray) -> float:
-    """The threshold between two clusters of ratios, by two means in one dimension; on square roots, as ratios are skewed."""
-    roots = np.sqrt(values)
-    low, high = float(roots.min()), float(roots.max())
-    if high - low < 1e-9:
-        return -1.0 if high > 0 else math.inf
-    edge = (low + high) / 2
-    for _ in range(12):
-        above = roots >= edge
-        moved = (float(roots[above].mean()) + float(roots[~above].mean() if not above.all() else low)) / 2
-        if abs(moved - edge) < 1e-6:
-            break
-        edge = moved
-    return min(edge, float(roots.std()) + low) ** 2
-
-
-def content_regions(lengths: list[int], linked: list[int], tags: list[int], keep: list[bool]) -> np.ndarray:
+_HALF = 4
+_KERNEL = [math.exp(-(i**2) / (2 * SIGMA**2)) for i in range(-_HALF, _HALF + 1)]
+_KERNEL = np.array([k / sum(_KERNEL) for k in _KERNEL])
+
+
+def split_point(values: list[float]) -> float:
+    """The threshold between two clusters of ratios: the least squares in one dimension, on square roots, as ratios are skewed."""
+    roots = sorted(math.sqrt(v) for v in values)
+    n, total = len(roots), sum(roots)
+    if roots[-1] - roots[0] < 1e-9:
+        return roots[0] ** 2
+    best, edge, left = -1.0, roots[0], 0.0
+    for i in range(1, n):
+        left += roots[i - 1]
+        between = left * left / i + (total - left) ** 2 / (n - i)  # greatest where the squares within are least
+        if between > best:
+            best, edge = between, (roots[i - 1] + roots[i]) / 2
+    return edge * edge
+
+
+def content_regions(lengths: list[int], linked: list[int], tags: list[int], keep: list[bool]) -> list[bool]:
     """Whether each line lies in a content region. No lines, or no text in any, gives no region."""
-    ratio = np.array([max(0, n - a) / (1.0 + t) if k else 0.0 for n, a, t, k in zip(lengths, linked, tags, keep)])
-    if not ratio.size or ratio.max() <= 0:
-        return np.zeros(ratio.size, bool)
-    smooth = np.convolve(np.pad(ratio, 4, mode="edge"), _KERNEL, mode="valid")
-    return smooth >= max(split_point(smooth), 1e-9)
+    ratio = [(n - a) / (1.0 + t) if k and n > a else 0.0 for n, a, t, k in zip(lengths, linked, tags, keep)]
+    if not any(ratio):
+        return [False] * len(ratio)
+    smooth = np.convolve([ratio[0]] * _HALF + ratio + [ratio[-1]] * _HALF, _KERNEL, mode="valid").tolist()
+    # Half the point between the clusters: a short line between paragraphs stays in their region.
+    edge = max(split_point(smooth) / 2, 1e-9)
+    return [v >= edge for v in smooth]
 
 
 def body_flags(texts: list, blocks: list, tags: list, linked: list, code: list, keys: list, bare: bool, heads: int, facts: dict) -> list[bool]:
@@ -58,14 +60,15 @@ def body_flags(texts: list, blocks: list, tags: list, linked: list, code: list,
     if bare:
         return keep
     inside = content_regions([weight(t) for t in texts], linked, tags, keep)
-    spots = np.flatnonzero(inside)
-    if not spots.size:
+    spots = [i for i, v in enumerate(inside) if v]
+    if not spots:
         return keep
-    near = np.zeros(len(texts), bool)
-    for shift in range(-REACH, REACH + 1):
-        moved = spots + shift
-        near[moved[(moved >= 0) & (moved < len(texts))]] = True
-    return [bool(k and (n or s or b in ("h1", "h2", "td"))) for k, n, s, b in zip(keep, near, code, blocks)]
+    out, at = [], 0
+    for i, (kept, sample, block) in enumerate(zip(keep, code, blocks)):
+        while at + 1 < len(spots) and abs(spots[at + 1] - i) <= abs(spots[at] - i):
+            at += 1
+        out.append(kept and (abs(spots[at] - i) <= REACH or sample or block in ("h1", "h2", "td")))
+    return out
 
 
 _OUT = "raw_id BIGINT, line STRING, body BOOLEAN, place INT"
@@ -73,7 +76,7 @@ _ARROW = pa.schema([("raw_id", pa.int64()), ("line", pa.string()), ("body", pa.b
 
 
 def judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple = (None, None)
+    facts = SiteFacts()
     for batch in batches:
         names = batch.schema.names
         for lo in range(0, batch.num_rows, 512):
@@ -82,13 +85,9 @@ def judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             plain = {n: column[n].to_pylist() for n in ("page_id", "site", "bare", "heads", "texts", "blocks", "tags", "linked", "code", "keys")}
             ids, lines, flags, places = [], [], [], []
             for i, page in enumerate(plain["page_id"]):
-                host = plain["site"][i]
-                if last[0] != host or last[1] is None:
-                    found = column["facts"][i].values if column["facts"][i].is_valid else None
-                    facts = dict(zip(found.field("key").to_pylist(), zip(found.field("pages").to_pylist(), found.field("all").to_pylist(), found.field("bare").to_pylist()))) if found is not None else {}
-                    last = (host, facts)
+                known = facts.of(plain["site"][i], column["facts"], i)
                 texts = plain["texts"][i]
-                body = body_flags(texts, *(plain[n][i] for n in ("blocks", "tags", "linked", "code", "keys", "bare")), plain["heads"][i] or 0, last[1])
+                body = body_flags(texts, *(plain[n][i] for n in ("blocks", "tags", "linked", "code", "keys", "bare")), plain["heads"][i] or 0, known)
                 ids += [page] * len(texts)
                 lines += texts
                 flags += body
