@@ -23,6 +23,7 @@ SAMPLE = 16_000  # pages that the fit and its validation may see together
 DIMENSIONS = 1 << 17  # of the hashed features
 PENALTY = 1e-4  # of the squared weights, for each row
 THRESHOLD = 0.5
+PROSE = 120  # weighted characters of prose that make a page one with content
 MESSAGE = 160  # weighted characters up to which a line may be a message
 
 # Syntaxes of unfilled placeholders.
@@ -59,7 +60,11 @@ def _slot(feature: str) -> int:
 
 def is_filler(text: str) -> bool:
     """Whether most words of a text are nonsense Latin."""
-    words = [w for w in text.lower().split() if len(w) > 2]
+    words = [w for w in text.split() if len(w) > 2]
+    some = words[::5]  # over the whole text; most texts are told apart by these
+    if len(words) > 25 and sum(w[:3].lower() in _STEMS for w in some) < 0.4 * len(some):
+        return False
+    words = [w.lower() for w in words]
     return len(words) >= 5 and sum(w[:3] in _STEMS for w in words) >= 0.6 * len(words)
 
 
@@ -74,32 +79,37 @@ def describe(title: str, notice: str, texts: list, linked: list, code: list, pla
     grams: list[str] = []
     messages = []
     for text, link in own:
-        if any(c in text for c in "{<[%_@*O"):
+        if "{" in text or "<" in text or "[" in text or "%" in text or "_" in text or "@" in text or "*" in text or "TODO" in text:
             text, n = PLACEHOLDER.subn(" \x01 ", text)
             holes += n
         size = weight(text)
         if size >= 40 and 2 * link < len(text) and is_filler(text):
             filler += 1
-        elif size >= 60 and 2 * link < len(text) and not PHRASES.search(text):
+        elif size > MESSAGE and 2 * link < len(text):
             prose += size
         if size <= MESSAGE:
-            messages.append(text)
-    state = "f" if prose >= 120 else "b"
+            messages.append((text, size, link))
+    # A line that may be a message counts as prose only where no phrase of messages stands in it; long prose decides alone.
+    if prose < PROSE:
+        prose += sum(n for t, n, a in messages if n >= 60 and 2 * a < len(t) and not PHRASES.search(t) and not is_filler(t))
+    state = "f" if prose >= PROSE else "b"
+    messages = [t for t, _, _ in messages]
     hit = False
     if state == "b":
         if notice and not own:
             messages.append(notice)
         hit = filler > 0 or any(STUB.fullmatch(t) or PHRASES.search(t) for t in messages)
     for text in messages:
-        words = ["#" if w.isdigit() else w for w in _WORDS.findall(text.lower())][:40]
         if state == "b":
+            words = ["#" if w.isdigit() else w for w in _WORDS.findall(text.lower())]
             grams += [f"b {w}" for w in words]
             grams += [f"b {a} {b}" for a, b in zip(words, words[1:])]
-        if STUB.fullmatch(text):
+        if len(text) < 24 and STUB.fullmatch(text):
             grams.append(f"{state} stub")
     if title:
-        words = ["#" if w.isdigit() else w for w in _WORDS.findall(PLACEHOLDER.sub(" ", title).lower())][:20]
-        grams += [f"{state}t {w}" for w in words] if state == "b" else []
+        if state == "b":
+            words = ["#" if w.isdigit() else w for w in _WORDS.findall(PLACEHOLDER.sub(" ", title).lower())]
+            grams += [f"bt {w}" for w in words]
         grams.append(f"t is line {state}" if any(t == title for t, _ in own[:3]) else f"t isn't line {state}")
     if filler:
         grams += ["filler", f"filler {state}"]
