@@ -29,7 +29,7 @@ RUN_WIDE = 36  # characters instead, of texts in scripts without blanks
 WINDOW = 16  # every common run of RUN + WINDOW - 1 words routes
 PASSAGE = 5  # words of an automaton's passage
 COVERED = 0.3  # share of an evaluation text that passages must cover before the exact check
-SHARD = 400  # evaluation texts in one automaton
+SHARD = 64  # evaluation texts in one automaton; the fewer, the fewer passages that a text shares with others by chance
 SCAN = 5_000  # training texts that one task scans for a shard, about
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -40,12 +40,25 @@ def body_words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+_HASHES: dict[str, int] = {}  # of the words that a worker met, up to a bound
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    known = _HASHES
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def route_seeds(words: list[str]) -> np.ndarray:
     """Hashes of the runs of words that are least in some window of WINDOW runs; a text shorter than that has its least run."""
     k = RUN_WIDE if sum(len(w) == 1 and _WIDE.match(w) is not None for w in words[:200]) * 2 > min(len(words), 200) else RUN
     if len(words) < k:
         return np.zeros(0, np.int64)
-    ids = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    ids = _word_hashes(words)
     runs = np.zeros(len(ids) - k + 1, np.uint64)
     for i in range(k):
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(runs)]
@@ -204,7 +217,8 @@ class SplitOverlap:
         held = found.join(texts.selectExpr("mark AS e", "text"), "e").select(shard.alias("shard"), F.col("e").alias("mark"), "text").join(lanes, "shard")
         held = held.select("shard", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("train"), "mark", "text")
         # Sorted, a lane's evaluation texts come before its training texts, which then stream past the automaton.
-        ordered = held.unionAll(scanned).repartition("shard", "lane").sortWithinPartitions("shard", "lane", "train")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4000, shards // 8))
+        ordered = held.unionAll(scanned).repartition(tasks, "shard", "lane").sortWithinPartitions("shard", "lane", "train")
         number = F.col("shard") * F.lit(1_000_000) + F.col("lane")
         near = ordered.select(number.alias("number"), "train", "mark", "text").mapInArrow(_scan_batches(least_same), "eval_mark BIGINT, train_mark BIGINT, covered DOUBLE, same DOUBLE")
         equal = texts.where("eval AND train").selectExpr("mark AS eval_mark", "mark AS train_mark", "1.0D AS covered", "1.0D AS same")
