@@ -257,9 +257,9 @@ _PERSON = rf"CASE WHEN {_NAME} <> '' AND regexp_replace(regexp_replace({_NAME},
 ORACLE = {
     "flag_counts": _F + "SELECT category, count(*) AS n_rows, " + ", ".join(f"count(*) FILTER ({n}) AS {n}" for n in ("clear_failure_union", "sparse_body_candidate", "sparse_script_shell_candidate", "html_markup", "markdown_like_without_html")) + " FROM f GROUP BY category",
     "hint_histogram": "SELECT hint, count(*) AS n FROM (SELECT DISTINCT raw_id, unnest(path_hints) AS hint FROM quality_flags) GROUP BY hint",
-    "computed_path_hints": f"SELECT raw_id, array_to_string({_HINTS}, ',') AS hints FROM (SELECT raw_id, {_PATH} AS p FROM raw WHERE href IS NOT NULL)",
+    "computed_path_hints": f"SELECT raw_id, array_to_string({_HINTS}, ',') AS hints FROM (SELECT raw_id, lower({_PATH}) AS p FROM raw WHERE href IS NOT NULL)",
     "path_features": f"SELECT raw_id, regexp_replace(trim(href), '#.*$', '') AS url, {_PATH} AS path, len(list_filter(string_split({_PATH}, '/'), lambda x: x <> '')) AS depth FROM raw WHERE href IS NOT NULL",
-    "prompt_styles": r"SELECT raw_id, regexp_matches(prompt, '(?i)^\s*(?:what|why|how|when|where|which|who|is|are|can|do|does|should)\b') OR rtrim(prompt) LIKE '%?' AS question, regexp_matches(prompt, '(?i)\b(?:vs|versus|compare|compared|comparison|better|difference)\b') AS comparison, regexp_matches(prompt, '(?i)\bhow (?:to|do|can)\b') AS how_to, regexp_matches(prompt, '\p{Han}|\p{Hiragana}|\p{Katakana}') AS cjk, length(prompt) > 200 AS long, len("
+    "prompt_styles": r"SELECT raw_id, regexp_matches(prompt, '(?i)^\s*(?:what|which|where|when|why|how|who|can|could|is|are|do|does|should|will)\b') OR contains(prompt, '?') OR contains(prompt, '？') AS question, regexp_matches(prompt, '(?i)\b(?:best|compare|comparison|versus|vs|better|cheapest)\b') AS comparison, regexp_matches(prompt, '(?i)\bhow\s+to\b') AS how_to, regexp_matches(prompt, '\p{Han}|\p{Hiragana}|\p{Katakana}') AS cjk, length(prompt) > 200 AS long, len("
     + _WORDS % "prompt" + ") AS n_words FROM raw WHERE prompt IS NOT NULL",
     "clean_rows": _F + "SELECT raw_id FROM f WHERE html_markup AND NOT coalesce(clear_failure_union, false) AND NOT sparse_body_candidate AND body_words >= 100",
     "matched_pairs": _F + "SELECT a.hostname, count(*) AS pairs FROM f a JOIN f b ON a.hostname = b.hostname AND lower(trim(a.prompt)) = lower(trim(b.prompt)) AND a.category = 'top' AND b.category = 'bottom' AND a.href <> b.href GROUP BY a.hostname",
