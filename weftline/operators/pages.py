@@ -137,7 +137,7 @@ def line_evidence(pages: DataFrame) -> DataFrame:
 class SiteFacts:
     """Facts of sites by host, kept for the sites met last in a worker."""
 
-    def __init__(self, most: int = 4000) -> None:
+    def __init__(self, most: int = 1000) -> None:
         self.most = most
         self.known: dict = {}
 

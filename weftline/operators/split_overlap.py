@@ -162,6 +162,8 @@ def _scan_batches(least_same: float):
                 words = None
                 for e, found in places.items():
                     other, mine = evals[e]
+                    if other == mark:  # equal texts are linked without a scan
+                        continue
                     if len(found) + PASSAGE - 1 < COVERED * len(mine) / PASSAGE:
                         continue
                     covered = end = 0
