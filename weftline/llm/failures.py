@@ -122,7 +122,13 @@ def describe(title: str, notice: str, texts: list, linked: list, code: list, pla
     return sorted({_slot(g) for g in grams}), holes, hit
 
 
-def _pages_out(batch: pa.RecordBatch, facts: SiteFacts) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
+def _pages_out(whole: pa.RecordBatch, facts: SiteFacts) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
+    """Pages of a batch, a slice at a time, so that no more than a slice is in Python's objects."""
+    for lo in range(0, whole.num_rows, 256):
+        yield from _slice_out(whole.slice(lo, 256), facts)
+
+
+def _slice_out(batch: pa.RecordBatch, facts: SiteFacts) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
     names = batch.schema.names
     column = {n: batch.column(i) for i, n in enumerate(names)}
     plain = {n: column[n].to_pylist() for n in names if n != "facts"}
