@@ -1,0 +1,71 @@
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weftline.operators.split_overlap import SplitOverlap, common_words, route_seeds
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_common_words(a, b):
+    assert common_words(a, b) == lcs(a, b)
+
+
+def test_common_run_gives_a_common_seed():
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for _ in range(50):
+        run = [word() for _ in range(27)]
+        a, b = [word() for _ in range(40)] + run, run + [word() for _ in range(60)]
+        assert set(route_seeds(a)) & set(route_seeds(b))
+
+
+STRESS = "raw_id BIGINT, split STRING, mark STRING"
+FLAGS = "raw_id BIGINT, hostname STRING, href STRING"
+
+
+def page(words, style="html"):
+    text = " ".join(words)
+    return f"<html><body><h1>{words[0]}</h1><p>{text}</p></body></html>" if style == "html" else f"# {words[0]}\n\n{text.upper()}\n"
+
+
+def test_pairs_equal_brute_force(spark, make_raw):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [[word() for _ in range(70)] for _ in range(12)]
+    texts = []
+    for i, b in enumerate(base):
+        texts.append(b)
+        for keep in (1.0, 0.9, 0.75, 0.6, 0.3):
+            cut = int(len(b) * keep)
+            texts.append(b[:cut] + [word() for _ in range(len(b) - cut)])
+    rows = [(i, f"h{i % 7}.test", page(t, "html" if i % 3 else "md")) for i, t in enumerate(texts)]
+    rows += [(900, "h.test", None), (901, "h.test", "   "), (902, "h.test", "tiny"), (903, None, page(base[0]))]
+    splits = [(i, ["train", "Test ", "validation", None][i % 4], "m") for i in range(len(texts))] + [(900, "test", "m"), (901, "train", "m"), (903, "train", "m"), (0, "train", "m"), (0, "train", "m")]
+    raw = make_raw(rows)
+    out = SplitOverlap(spark, raw, spark.createDataFrame(splits, STRESS), spark.createDataFrame([(0, "a.test", None), (0, "a.test", None), (1, None, None)], FLAGS), 300, 0.7)
+    got = {(r.eval_id, r.train_id) for r in out.pairs().collect()}
+    name = {i: (s or "").strip().lower() for i, s, _ in splits}
+    words = {i: [texts[i][0].lower(), *[w.lower() for w in texts[i]]] for i in range(len(texts))} | {903: [base[0][0], *base[0]]}
+    want = set()
+    for a in words:
+        for b in words:
+            if name.get(a) in ("test", "validation") and name.get(b) == "train" and lcs(words[a], words[b]) >= 0.7 * max(len(words[a]), len(words[b])):
+                want.add((a, b))
+    assert got == want and want
+    assert out.report().agg({"pairs": "sum"}).collect()[0][0] == len(want)
+
+
+def test_nothing(spark, make_raw):
+    out = SplitOverlap(spark, make_raw([]), spark.createDataFrame([], STRESS), spark.createDataFrame([], FLAGS), 300, 0.7)
+    assert out.pairs().isEmpty() and out.report().isEmpty()

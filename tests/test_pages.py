@@ -1,0 +1,40 @@
+from pyspark.sql import functions as F
+
+from weftline.operators import pages
+from weftline.session import Scratch
+
+
+def test_evidence_counts_headlines(spark, make_raw):
+    foot = "<footer><p>© 2024 Alpha. All rights reserved.</p><p>A long text that this site shows on all its pages, whatever they are about.</p></footer>"
+    rows = [(i, "alpha.test", f"<body><h1>Head {chr(97 + i)}</h1><p>Own words of the page {chr(97 + i) * 9} that nobody else has at all.</p>{foot}</body>") for i in range(6)]
+    rows += [(10 + i, "alpha.test", rows[0][2] + f"<i>{i}</i>") for i in range(4)]  # versions of one page
+    rows += [(30, None, None), (31, "alpha.test", " "), (32, None, "<p>x</p>")]
+    table = Scratch(spark, "t").put(pages.page_lines(make_raw(rows)))
+    assert table.count() == 11
+    evidence = pages.line_evidence(table)
+    joined = pages.with_evidence(table, evidence).where("page_id < 10").collect()
+    for r in joined:
+        facts = {f["key"]: (f["pages"], f["wide"], f["bare"]) for f in r["facts"]}
+        keep = pages.judge_lines(r["texts"], r["blocks"], r["linked"], r["code"], r["keys"], r["bare"], r["heads"], facts)
+        assert keep == [True, True, False, False]
+
+
+def test_empty(spark, make_raw):
+    table = pages.page_lines(make_raw([]))
+    assert table.isEmpty() and pages.line_evidence(table).isEmpty()
+    assert pages.with_evidence(table, pages.line_evidence(table)).isEmpty()
+
+
+def test_large_evidence_goes_by_shuffle(spark, make_raw, monkeypatch):
+    rows = [(i, "a.test", f"<h1>H{i}</h1><p>same line on every page</p>") for i in range(5)]
+    table = Scratch(spark, "t").put(pages.page_lines(make_raw(rows)))
+    evidence = pages.line_evidence(table)
+    one = pages.with_evidence(table, evidence).select("page_id", F.size("facts").alias("n")).collect()
+    monkeypatch.setattr(pages, "FACTS_LIMIT", -1)
+    assert sorted(one) == sorted(pages.with_evidence(table, evidence).select("page_id", F.size("facts").alias("n")).collect())
+
+
+def test_forms():
+    m = pages.Masker()
+    assert m.form("© 2024 Ostcal Droulm", "ostcal-droulm.example") == "© # @ @"
+    assert m.form("x" * 200 + "1", None).endswith("1") and m.form("7", None) == "#"

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.markup import payload_lines
 from weftline.functions.names import site
+from weftline.session import small_batches
 
 PAGE_SCHEMA = (
     "page_id BIGINT, site STRING, payload BIGINT, html BOOLEAN, title STRING, notice STRING, head BIGINT, bare BOOLEAN, texts ARRAY<STRING>, blocks ARRAY<STRING>,"
@@ -98,6 +99,7 @@ def page_lines(raw: DataFrame) -> DataFrame:
     page_id is raw_id. head is the hash of the headline (first h1, else the title, else the first line);
     bare tells a page without prose. A page that shows nothing has no lines. Null and blank payloads have no row.
     """
+    small_batches(raw.sparkSession)
     pages = raw.where(F.col("html_content").rlike(r"(?U)\S")).select("raw_id", site(F.col("hostname"), F.col("href")).alias("site"), "html_content")
     return pages.mapInArrow(read_pages, PAGE_SCHEMA)
 

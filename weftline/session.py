@@ -48,6 +48,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch, where rows are whole payloads; a setting other than Spark's default is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage; a lost executor costs nothing that is already written."""
 
