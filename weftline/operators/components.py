@@ -1,8 +1,8 @@
 """Connected components by frontier breadth-first search from many seeds at once.
 
 Adjacency lists are hash-partitioned by node and cut into chunks, so that no list grows with its
-node's degree. The seeds are the nodes smaller than all their neighbours, so every component has
-one. All seeds expand concurrently, a level at a time; where two seeds meet, their pair goes into a
+node's degree. The seeds are the nodes whose hash is below that of all their neighbours, so every
+component has one, and a walk to the nearest is short whatever the nodes are called. All seeds expand concurrently, a level at a time; where two seeds meet, their pair goes into a
 smaller graph, whose components are found the same way. Everything stays in tables; the driver sees
 only counts.
 """
@@ -24,7 +24,7 @@ def _adjacency(both: DataFrame) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, depth: int = 0) -> DataFrame:
-    """(node, component) of each node of `edges` (a BIGINT, b BIGINT); component is the least node of it.
+    """(node, component) of each node of `edges` (a BIGINT, b BIGINT); component is one of its nodes, the same on every run.
 
     Null ends, loops and repeated edges count for nothing. An empty table gives an empty table.
     """
@@ -33,8 +33,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, depth: int = 0)
     pairs = keep.put(pairs)
     both = pairs.selectExpr("a AS src", "b AS dst").unionAll(pairs.selectExpr("b AS src", "a AS dst"))
     near = keep.put(_adjacency(both))
-    nodes = near.groupBy("src").agg(F.min(F.array_min("near")).alias("least"))
-    labels = keep.put(nodes.where("src < least").selectExpr("src AS node", "src AS seed", "0 AS level"))
+    order = lambda c: F.struct(F.xxhash64(F.lit(depth), c).alias("h"), c.alias("n"))
+    nodes = near.groupBy("src").agg(F.min(F.array_min(F.transform("near", order))).alias("least"))
+    labels = keep.put(nodes.where(order(F.col("src")) < F.col("least")).selectExpr("src AS node", "src AS seed", "0 AS level"))
     if labels.isEmpty():
         return labels.selectExpr("node", "seed AS component")
     meets: list[DataFrame] = []

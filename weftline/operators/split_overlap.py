@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.hashing import sliding, window_hashes
 from weftline.functions.names import site as site_of
 from weftline.functions.names import split_name
 from weftline.operators.pages import SiteFacts, judge_lines, key_of, line_evidence, page_lines, with_evidence
@@ -26,18 +27,21 @@ from weftline.session import Scratch
 
 RUN = 12  # words of the runs that route texts to each other
 RUN_WIDE = 36  # characters instead, of texts in scripts without blanks
-WINDOW = 16  # every common run of RUN + WINDOW - 1 words routes
+WINDOW = 16  # every common run of RUN + WINDOW - 1 words gives a common seed
+MANY = 24  # seeds of both texts from which one common seed isn't enough to route: texts mostly alike have several
 PASSAGE = 5  # words of an automaton's passage
 COVERED = 0.3  # share of an evaluation text that passages must cover before the exact check
 SHARD = 64  # evaluation texts in one automaton; the fewer, the fewer passages that a text shares with others by chance
 SCAN = 5_000  # training texts that one task scans for a shard, about
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_PLAIN = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
 def body_words(text: str) -> list[str]:
     """Words in lower case without punctuation; a character of a script without blanks is a word."""
-    return _WORD.findall(text.casefold())
+    folded = text.casefold()
+    return _WORD.findall(folded) if _WIDE.search(folded) else _PLAIN.findall(folded)
 
 
 _HASHES: dict[str, int] = {}  # of the words that a worker met, up to a bound
@@ -55,20 +59,14 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 
 def route_seeds(words: list[str]) -> np.ndarray:
     """Hashes of the runs of words that are least in some window of WINDOW runs; a text shorter than that has its least run."""
-    k = RUN_WIDE if sum(len(w) == 1 and _WIDE.match(w) is not None for w in words[:200]) * 2 > min(len(words), 200) else RUN
+    k = RUN_WIDE if 2 * sum(len(w) == 1 and w > "\u3000" for w in words) > len(words) else RUN
     if len(words) < k:
         return np.zeros(0, np.int64)
     ids = _word_hashes(words)
-    runs = np.zeros(len(ids) - k + 1, np.uint64)
-    for i in range(k):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(runs)]
-    runs ^= runs >> np.uint64(29)
-    runs *= np.uint64(0xBF58476D1CE4E5B9)
-    runs ^= runs >> np.uint64(32)
+    runs = window_hashes(ids, k)
     if len(runs) <= WINDOW:
         return runs.min(keepdims=True).view(np.int64)
-    low = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).min(axis=1)
-    return np.unique(low).view(np.int64)
+    return np.unique(sliding(runs, WINDOW, np.minimum)).view(np.int64)
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -205,9 +203,10 @@ class SplitOverlap:
         train = F.col("split") == "train"
         kinds = self.members.groupBy("mark").agg(F.min("raw_id").alias("raw_id"), F.max(train).alias("train"), F.max(~train).alias("eval"))
         texts = keep.put(bodies.drop("mark").join(kinds, "raw_id").select("mark", "train", "eval", "text", "seeds"))
-        seeds = texts.select("mark", "train", "eval", F.explode("seeds").alias("seed"))
-        route = seeds.where("eval").select("seed", F.col("mark").alias("e")).join(seeds.where("train").select("seed", F.col("mark").alias("t")), "seed").where("e <> t")
-        route = keep.put(route.select("e", "t").distinct())
+        seeds = texts.select("mark", "train", "eval", F.size("seeds").alias("n"), F.explode("seeds").alias("seed"))
+        ev, tr = seeds.where("eval").select("seed", F.col("mark").alias("e"), F.col("n").alias("ne")), seeds.where("train").select("seed", F.col("mark").alias("t"), F.col("n").alias("nt"))
+        met = ev.join(tr, "seed").where("e <> t").groupBy("e", "t").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("ne", "nt")).alias("n"))
+        route = keep.put(met.where((F.col("common") > 1) | (F.col("n") < MANY)).select("e", "t"))
         found = route.select("e").distinct()
         shards = max(1, -(-found.count() // SHARD))
         shard = F.pmod(F.xxhash64(F.lit("shard"), F.col("e")), F.lit(shards)).cast("int")

@@ -38,7 +38,7 @@ def wilcoxon(differences: DataFrame, least: int = 10) -> DataFrame:
     n = F.col("n")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     erf = normal_tail(F.abs(F.col("z")))
-    return g.withColumn("z", F.when(n >= least, z)).select("feature", "n", F.round("w_plus", 6).alias("w_plus"), F.round("z", 6).alias("z"), F.round(erf, 6).alias("p"))
+    return g.withColumn("z", F.when(n >= least, z)).select("feature", "n", F.round("w_plus", 6).alias("w_plus"), F.round("z", 6).alias("z"), F.round(F.when(F.col("z").isNotNull(), erf), 6).alias("p"))
 
 
 def normal_tail(z: Column) -> Column:
