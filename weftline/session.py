@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,23 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
     return builder.config("spark.sql.shuffle.partitions", shuffle_partitions).config("spark.driver.memory", memory).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each Spark application, so that no path need be set on them.
+
+    The archive is written by the driver and served by Spark; no task writes it or reads it from a local path.
+    """
+    context = spark.sparkContext
+    if getattr(ship_package, "done", None) == context.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    ship_package.done = context.applicationId
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
