@@ -4,7 +4,7 @@ Parser events give the lines of a page (`functions.markup`). Each line has a tex
 characters outside links for each tag, nothing for a line that the corpus shows to be repeated. The
 ratios are smoothed with a Gaussian along the page, and clustered in two by a threshold; the runs above
 it are the content regions. A line is body when the evidence of `operators.pages` leaves it there and
-it stands in or near a region; on a page without any region (a message, a list of figures) the evidence
+it stands between the first and the last region, or near them; on a page without any region (a message, a list of figures) the evidence
 decides alone.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from weftline.operators.pages import SiteFacts, judge_lines, line_evidence, page_lines, weight, with_evidence
 from weftline.session import Scratch
 
+SENTENCE = 60  # characters from which a linked line counts as text: menus and cards are shorter, or told by the evidence
 SIGMA = 1.5  # lines, of the Gaussian
-REACH = 6  # lines beside a region that still belong to it
+REACH = 6  # lines before the first and after the last region that still belong to the body
 _HALF = 4
 _KERNEL = [math.exp(-(i**2) / (2 * SIGMA**2)) for i in range(-_HALF, _HALF + 1)]
 _KERNEL = np.array([k / sum(_KERNEL) for k in _KERNEL])
@@ -45,12 +46,13 @@ def split_point(values: list[float]) -> float:
 
 def content_regions(lengths: list[int], linked: list[int], tags: list[int], keep: list[bool]) -> list[bool]:
     """Whether each line lies in a content region. No lines, or no text in any, gives no region."""
-    ratio = [(n - a) / (1.0 + t) if k and n > a else 0.0 for n, a, t, k in zip(lengths, linked, tags, keep)]
+    own = [n if n >= SENTENCE else n - a for n, a in zip(lengths, linked)]
+    ratio = [n / (1.0 + t) if k and n > 0 else 0.0 for n, t, k in zip(own, tags, keep)]
     if not any(ratio):
         return [False] * len(ratio)
     smooth = np.convolve([ratio[0]] * _HALF + ratio + [ratio[-1]] * _HALF, _KERNEL, mode="valid").tolist()
-    # Half the point between the clusters: a short line between paragraphs stays in their region.
-    edge = max(split_point(smooth) / 2, 1e-9)
+    # A quarter of the point between the clusters: lists of short sentences beside paragraphs stay in their region.
+    edge = max(split_point(smooth) / 4, 1e-9)
     return [v >= edge for v in smooth]
 
 
@@ -63,12 +65,8 @@ def body_flags(texts: list, blocks: list, tags: list, linked: list, code: list,
     spots = [i for i, v in enumerate(inside) if v]
     if not spots:
         return keep
-    out, at = [], 0
-    for i, (kept, sample, block) in enumerate(zip(keep, code, blocks)):
-        while at + 1 < len(spots) and abs(spots[at + 1] - i) <= abs(spots[at] - i):
-            at += 1
-        out.append(kept and (abs(spots[at] - i) <= REACH or sample or block in ("h1", "h2", "td")))
-    return out
+    low, high = spots[0] - REACH, spots[-1] + REACH
+    return [k and (low <= i <= high or s or b in ("h1", "h2", "td", "th")) for i, (k, s, b) in enumerate(zip(keep, code, blocks))]
 
 
 _OUT = "raw_id BIGINT, line STRING, body BOOLEAN, place INT"
