@@ -78,10 +78,12 @@ def test_no_pages(spark, make_raw):
 
 
 def test_regions_of_content():
-    lengths = [8, 9, 7, 40, 300, 280, 310, 12, 10]
-    linked = [8, 9, 7, 0, 0, 5, 0, 12, 10]
-    inside = main_body.content_regions(lengths, linked, [4, 4, 4, 2, 2, 2, 2, 4, 4], [True] * 9)
-    assert inside[4:7] == [True] * 3 and not inside[0] and not inside[-1]
+    lengths = [8] * 8 + [40, 300, 280, 310] + [10] * 8
+    linked = [8] * 8 + [0, 0, 5, 0] + [10] * 8
+    inside = main_body.content_regions(lengths, linked, [4] * 8 + [2] * 4 + [4] * 8, [True] * 20)
+    assert inside[9:12] == [True] * 3 and not inside[0] and not inside[-1]
+    repeated = main_body.content_regions(lengths, linked, [4] * 8 + [2] * 4 + [4] * 8, [i not in (9, 10) for i in range(20)])
+    assert repeated[11] and sum(repeated) <= sum(inside)
     assert main_body.content_regions([], [], [], []) == []
     assert main_body.content_regions([5, 5], [5, 5], [1, 1], [True, True]) == [False, False]
 

@@ -2,8 +2,8 @@
 
 Each item goes where the sum of the squared counts of open containers for each residual gap becomes
 smallest. Items are spread over packers by hash; each packs its stream with what is open in memory and
-nothing else. What the packers leave loosely filled is packed again, as whole items, by fewer packers,
-until one is left.
+nothing else. The items of containers that are left loosely filled are packed again by fewer packers, until
+one is left.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from weftline.llm.tokens import VOCABULARY, filled, with_tokens
 from weftline.session import Scratch
 
 PER_PACKER = 50_000  # items a packer should get
-MERGE = 16  # packers of one round whose loose containers go to one packer of the next
+MERGE = 16  # packers of one round whose loose containers' items go to one packer of the next
 LOOSE = 0.02  # share of the capacity that may stay unused in a container that isn't packed again
 
 
@@ -102,9 +102,10 @@ def pack_items(spark: SparkSession, items: DataFrame, capacity: int, per_packer:
     round_ = 0
     while packers > 1:
         packers, round_ = -(-packers // MERGE), round_ + 1
-        used = packed.groupBy("bin_id").agg(F.sum("tokens").cast("int").alias("tokens")).where(F.col("tokens") < (1 - LOOSE) * capacity)
-        moved = one_round(used.select(F.col("bin_id").alias("doc_id"), F.lit(0).alias("piece"), "tokens"), packers, round_).selectExpr("doc_id AS bin_id", "bin_id AS into")
-        packed = keep.put(packed.join(moved, "bin_id", "left").selectExpr("doc_id", "piece", "tokens", "coalesce(into, bin_id) AS bin_id"))
+        used = packed.groupBy("bin_id").agg(F.sum("tokens").alias("used"))
+        loose = used.where(F.col("used") < (1 - LOOSE) * capacity).select("bin_id")
+        again = one_round(packed.join(loose, "bin_id", "left_semi"), packers, round_)
+        packed = keep.put(packed.join(loose, "bin_id", "left_anti").select(again.columns).unionAll(again))
     return packed
 
 
