@@ -1,3 +1,5 @@
+from functools import lru_cache
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -24,6 +26,7 @@ def best_cost(text, limit, overlap):
     count = 1 + -(-(len(text) - limit) // room)
     even = max(1.0, (len(text) - overlap) / count)
 
+    @lru_cache(None)
     def go(i):
         if i == len(at) - 1:
             return 0.0
