@@ -62,7 +62,7 @@ def document_profile(documents: DataFrame) -> DataFrame:
     inv = F.col("inventory")
     return d.select(
         "snapshot_id", "href", "format", F.coalesce(inv["title"], F.lit("")).alias("title"), F.coalesce(inv["description"], F.lit("")).alias("description_text"), inv["json_ld"].alias("json_ld"), F.coalesce(inv["scripts"], F.lit(0)).alias("scripts"),
-        F.coalesce(inv["visible_words"], F.lit(0)).alias("source_words"), _joined(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit("")))).alias("body"), _joined(_texts("heading")).alias("headings"), _texts("heading").alias("heading_texts"),
+        F.coalesce(inv["visible_words"], F.lit(0)).alias("source_words"), x.normalized_tokens(F.array_join(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), " ")).alias("body_normal"), x.normalized_tokens(F.coalesce(inv["title"], F.lit(""))).alias("title_normal"), _joined(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit("")))).alias("body"), _joined(_texts("heading")).alias("headings"), _texts("heading").alias("heading_texts"),
         _joined(F.transform(F.filter("blocks", lambda b: (b["block_type"] == "heading") & (b["heading_level"] == 1)), lambda b: b["text"])).alias("h1"), F.size(F.filter("blocks", lambda b: b["heading_level"] == 1)).alias("h1_count"),
         _joined(F.transform(F.filter("cells_", lambda c: c["h"]), lambda c: c["x"])).alias("table_headers"), F.transform(_sections(F.col("blocks")), lambda s: F.struct(x.words(s["head"]).alias("head"), _joined(s["texts"]).alias("tokens"))).alias("sections"),
         F.transform(_texts("paragraph"), lambda t: F.size(x.words(t))).alias("paragraph_words"), *[size(k).alias(f"n_{k}") for k in (*KINDS, "list")],
@@ -197,6 +197,16 @@ def feature_table(records: DataFrame, profiles: DataFrame, flags: DataFrame | No
     support = out["answer_best_sentence_coverage"]
     for name in ("coverage_title", *[f"{g}_query_{m}" for g in ("title", "path") for m in ("precision", "dice", "saturated_tf", "bigram")]):
         out[f"supported_{name}"] = out[name] * support
+    # The same after numbers, units, currencies and plurals are brought to one form.
+    stop = F.array(*[F.lit(w) for w in x.STOPWORDS])
+    r = r.withColumn("nq", F.array_except(F.array_distinct(x.normalized_tokens(prompt)), stop)).withColumn("path_normal", x.normalized_tokens(path))
+    for region, literal in (("title", "title_tokens"), ("path", "path_tokens"), ("body", "body")):
+        out[f"normalized_{region}_coverage"] = x.coverage_or_zero(F.col("nq"), F.col(f"{region}_normal"))
+        out[f"normalized_{region}_gain"] = out[f"normalized_{region}_coverage"] - cov0(F.col(literal))
+    numbers = F.filter("nq", lambda w: w.rlike(r"^\d+(?:\.\d+)?$"))
+    out["normalized_number_coverage"] = x.coverage_or_zero(numbers, F.col("body_normal"))
+    for name in ("normalized_title_coverage", "normalized_title_gain", "normalized_path_coverage", "normalized_path_gain"):
+        out[f"supported_{name}"] = out[name] * support
     return r.select("raw_id", *[F.round(c.cast("double"), 9).alias(n) for n, c in out.items()])
 
 

@@ -156,7 +156,7 @@ class SiteFacts:
         return found
 
 
-FACTS_LIMIT = 2_000_000  # entries of evidence (24 bytes each) up to which it is broadcast
+FACTS_LIMIT = 500_000  # entries of evidence (about 70 bytes each, 35 MB) up to which it is broadcast
 
 
 def with_evidence(pages: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import names, text
-from weftline.operators import stats
+from weftline.operators import quality, stats
 from weftline.plans.audit import _F, _flags
 from weftline.session import table
 
@@ -237,12 +237,29 @@ def connected_hosts(s, d):
     return tied.join(least, "component").select("site", "least")
 
 
+def quality_probe(s, d):
+    """Flags computed from payloads."""
+    return quality.probe_flags(quality.probe(table(s, d, "raw")))
+
+
+def quality_agreement(s, d):
+    """P4 against the stored flags."""
+    made = quality_probe(s, d).select("raw_id", F.col("clear_failure_union").alias("found"))
+    return made.join(_flags(s, d).select("raw_id", F.col("clear_failure_union").alias("stored")), "raw_id").groupBy("found", "stored").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prompt_style_counts(s, d):
+    """P6, A16."""
+    f = quality.prompt_style_flags(table(s, d, "raw"))
+    return f.agg(*[F.count_if(F.col(c)).alias(c) for c in f.columns if c != "raw_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flag_counts, hint_histogram, computed_path_hints, path_features, prompt_styles, clean_rows, matched_pairs, pair_counts, host_prompt_overlap, quality_anti_join, editorial_semi_join,
         omitted_pages, url_quality, first_occurrence, last_record, first_snapshot, hash_sample, first_of_flags, even_sample, host_paired_difference, wilcoxon_words, matched_query_difference,
-        bh_adjusted, split_leakage, shared_payload_hosts, exclusion_reasons, split_summary, key_uniqueness, cross_tab, snapshot_identity, payload_checksums, connected_hosts,
+        bh_adjusted, split_leakage, shared_payload_hosts, exclusion_reasons, split_summary, key_uniqueness, cross_tab, snapshot_identity, payload_checksums, connected_hosts, quality_probe, quality_agreement, prompt_style_counts,
     )
 }
 
@@ -254,7 +271,13 @@ _HINTS = " || ".join(f"CASE WHEN regexp_matches(p, '{rx}') THEN ['{n}'] ELSE []
 _DIFF = _F + ", l AS (SELECT 'body_words' AS feature, hostname, category, body_words::DOUBLE AS v FROM f UNION ALL SELECT 'prompt_chars', hostname, category, length(prompt)::DOUBLE FROM f), h AS (SELECT feature, hostname, avg(v) FILTER (category = 'top') - avg(v) FILTER (category = 'bottom') AS diff FROM l WHERE hostname IS NOT NULL AND category IN ('top', 'bottom') AND v IS NOT NULL GROUP BY 1, 2), k AS (SELECT * FROM h WHERE diff IS NOT NULL) "
 _NAME = r"regexp_replace(lower(trim(regexp_replace(author, '\s+', ' ', 'g'))), '^by[:\s]\s*', '')"
 _PERSON = rf"CASE WHEN {_NAME} <> '' AND regexp_replace(regexp_replace({_NAME}, '^([^,]+?)\s*,\s*([^,]+)$', '\2 \1'), '^(?:the|our)\s+', '') NOT IN ({', '.join(repr(x) for x in names.HOUSE_BYLINES)}) THEN regexp_replace({_NAME}, '^([^,]+?)\s*,\s*([^,]+)$', '\2 \1') END"
+_STYLE = {
+    "missing_or_blank": r"NOT regexp_matches(p, '[^\s\p{Z}]')", "contains_question_mark": "contains(p, '?') OR contains(p, '？')", "long_40plus_words": r"len(regexp_extract_all(p, '[\p{L}\p{N}_]+')) >= 40",
+    "short_1to5_words": r"len(regexp_extract_all(p, '[\p{L}\p{N}_]+')) BETWEEN 1 AND 5", "contains_non_ascii": r"regexp_matches(p, '[^\x00-\x7f]')", "english_question_start": f"regexp_matches(p, '{text.QUESTION}')", "english_comparison_marker": f"regexp_matches(p, '{text.COMPARISON}')",
+    **{f"contains_{n}_block": f"regexp_matches(p, '{rx}')" for n, rx in quality.WRITING.items()},
+}
 ORACLE = {
+    "prompt_style_counts": "SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _STYLE.items()) + " FROM (SELECT coalesce(prompt, '') AS p FROM raw)",
     "flag_counts": _F + "SELECT category, count(*) AS n_rows, " + ", ".join(f"count(*) FILTER ({n}) AS {n}" for n in ("clear_failure_union", "sparse_body_candidate", "sparse_script_shell_candidate", "html_markup", "markdown_like_without_html")) + " FROM f GROUP BY category",
     "hint_histogram": "SELECT hint, count(*) AS n FROM (SELECT DISTINCT raw_id, unnest(path_hints) AS hint FROM quality_flags) GROUP BY hint",
     "computed_path_hints": f"SELECT raw_id, array_to_string({_HINTS}, ',') AS hints FROM (SELECT raw_id, lower({_PATH}) AS p FROM raw WHERE href IS NOT NULL)",
