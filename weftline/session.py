@@ -74,13 +74,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this process. Results that weren't written yet can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Tables written in the shared folder to cut lineage; a lost executor costs nothing that is already written."""
+    """Tables written in the shared folder to cut lineage; a lost executor costs nothing that is already written.
+
+    They stay until `drop` or `clear_scratch`, as the results of operators read them.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/weftline/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _SCRATCH.append(self.base)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Writes a table and returns it as read from there."""
