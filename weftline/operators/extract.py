@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import dom
 from weftline.functions.markup import is_html
 from weftline.functions.text import split_bytes, stable_hash
-from weftline.session import small_batches
+from weftline.session import small_batches, spread
 
 BYTES_MOST = 20_000_000  # payloads above are refused with a status, not failed
 
@@ -56,7 +56,7 @@ def extract_documents(raw: DataFrame) -> DataFrame:
 
     small_batches(raw.sparkSession)
     ident = F.sha2(F.to_json(F.array(F.sha2("html_content", 256), F.col("href"))), 256)
-    each = raw.where("html_content IS NOT NULL").select(ident.alias("snapshot_id"), "href", "html_content", "raw_id")
+    each = spread(raw.where("html_content IS NOT NULL")).select(ident.alias("snapshot_id"), "href", "html_content", "raw_id")
     first = each.groupBy("snapshot_id").agg(F.min("raw_id").alias("raw_id"))  # payloads stay out of the exchange until their row is known
     once = each.join(first, ["snapshot_id", "raw_id"], "left_semi").select("snapshot_id", "href", "html_content")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.markup import payload_lines
 from weftline.functions.names import site
-from weftline.session import small_batches
+from weftline.session import small_batches, spread
 
 PAGE_SCHEMA = (
     "page_id BIGINT, site STRING, payload BIGINT, html BOOLEAN, title STRING, notice STRING, head BIGINT, bare BOOLEAN, texts ARRAY<STRING>, blocks ARRAY<STRING>,"
@@ -101,7 +101,7 @@ def page_lines(raw: DataFrame) -> DataFrame:
     """
     small_batches(raw.sparkSession)
     pages = raw.where(F.col("html_content").rlike(r"(?U)\S")).select("raw_id", site(F.col("hostname"), F.col("href")).alias("site"), "html_content")
-    return pages.mapInArrow(read_pages, PAGE_SCHEMA)
+    return spread(pages).mapInArrow(read_pages, PAGE_SCHEMA)
 
 
 SITE_SHARE = 0.03

@@ -74,6 +74,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where it has at most half as many partitions as there are cores.
+
+    A large table has partitions enough and stays where it is; so does anything that isn't a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 _SCRATCH: list[str] = []
 
 
