@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import names, text
-from weftline.operators import quality, stats
+from weftline.operators import quality, samples, stats
 from weftline.plans.audit import _F, _flags
 from weftline.session import table
 
@@ -254,12 +254,26 @@ def prompt_style_counts(s, d):
     return f.agg(*[F.count_if(F.col(c)).alias(c) for c in f.columns if c != "raw_id"])
 
 
+def stratified_quota_sample(s, d):
+    """Strata in order, one row a site; a sampling operator."""
+    f = _flags(s, d).withColumn("site", _site())
+    strata = [("failed", F.col("clear_failure_union"), 5), ("markdown", F.col("markdown_like_without_html"), 5), ("long", F.col("body_words") >= 400, 10), ("short", F.col("body_words") < 150, 10)]
+    return samples.quota_sample(f, "raw_id", "site", strata)
+
+
+def payload_disjoint_split(s, d):
+    """Candidate results dealt to dev and heldout, with whole payloads."""
+    r = table(s, d, "candidate_results").select("result_id", "snapshot_id").join(table(s, d, "snapshots").select("snapshot_id", "payload_hash"), "snapshot_id")
+    r = r.withColumn("split", F.when(F.pmod("result_id", F.lit(5)) < 3, "dev").otherwise("heldout"))
+    return samples.rebalance(r, "result_id", "payload_hash", "split").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flag_counts, hint_histogram, computed_path_hints, path_features, prompt_styles, clean_rows, matched_pairs, pair_counts, host_prompt_overlap, quality_anti_join, editorial_semi_join,
         omitted_pages, url_quality, first_occurrence, last_record, first_snapshot, hash_sample, first_of_flags, even_sample, host_paired_difference, wilcoxon_words, matched_query_difference,
-        bh_adjusted, split_leakage, shared_payload_hosts, exclusion_reasons, split_summary, key_uniqueness, cross_tab, snapshot_identity, payload_checksums, connected_hosts, quality_probe, quality_agreement, prompt_style_counts,
+        bh_adjusted, split_leakage, shared_payload_hosts, exclusion_reasons, split_summary, key_uniqueness, cross_tab, snapshot_identity, payload_checksums, connected_hosts, quality_probe, quality_agreement, prompt_style_counts, stratified_quota_sample, payload_disjoint_split,
     )
 }
 
@@ -277,6 +291,13 @@ _STYLE = {
     **{f"contains_{n}_block": f"regexp_matches(p, '{rx}')" for n, rx in quality.WRITING.items()},
 }
 ORACLE = {
+    "stratified_quota_sample": _F
+    + ", b AS (SELECT raw_id, sha256('42:' || raw_id) AS h, " + _SITE + """ AS site, clear_failure_union AS c1, markdown_like_without_html AS c2, body_words >= 400 AS c3, body_words < 150 AS c4 FROM f),
+t1 AS (SELECT * FROM (SELECT raw_id, site, h FROM b WHERE c1 AND site IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site ORDER BY h) = 1) ORDER BY h LIMIT 5),
+t2 AS (SELECT * FROM (SELECT raw_id, site, h FROM b WHERE c2 AND site IS NOT NULL AND site NOT IN (SELECT site FROM t1) QUALIFY row_number() OVER (PARTITION BY site ORDER BY h) = 1) ORDER BY h LIMIT 5),
+t3 AS (SELECT * FROM (SELECT raw_id, site, h FROM b WHERE c3 AND site IS NOT NULL AND site NOT IN (SELECT site FROM t1 UNION ALL SELECT site FROM t2) QUALIFY row_number() OVER (PARTITION BY site ORDER BY h) = 1) ORDER BY h LIMIT 10),
+t4 AS (SELECT * FROM (SELECT raw_id, site, h FROM b WHERE c4 AND site IS NOT NULL AND site NOT IN (SELECT site FROM t1 UNION ALL SELECT site FROM t2 UNION ALL SELECT site FROM t3) QUALIFY row_number() OVER (PARTITION BY site ORDER BY h) = 1) ORDER BY h LIMIT 10)
+SELECT raw_id, site, 'failed' AS stratum FROM t1 UNION ALL SELECT raw_id, site, 'markdown' FROM t2 UNION ALL SELECT raw_id, site, 'long' FROM t3 UNION ALL SELECT raw_id, site, 'short' FROM t4""",
     "prompt_style_counts": "SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _STYLE.items()) + " FROM (SELECT coalesce(prompt, '') AS p FROM raw)",
     "flag_counts": _F + "SELECT category, count(*) AS n_rows, " + ", ".join(f"count(*) FILTER ({n}) AS {n}" for n in ("clear_failure_union", "sparse_body_candidate", "sparse_script_shell_candidate", "html_markup", "markdown_like_without_html")) + " FROM f GROUP BY category",
     "hint_histogram": "SELECT hint, count(*) AS n FROM (SELECT DISTINCT raw_id, unnest(path_hints) AS hint FROM quality_flags) GROUP BY hint",
