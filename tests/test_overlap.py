@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.operators.split_overlap import SplitOverlap, common_words, route_seeds
+from weftline.operators.split_overlap import Held, SplitOverlap, common_words, route_seeds
 
 
 def lcs(a, b):
@@ -69,3 +69,35 @@ def test_pairs_equal_brute_force(spark, make_raw):
 def test_nothing(spark, make_raw):
     out = SplitOverlap(spark, make_raw([]), spark.createDataFrame([], STRESS), spark.createDataFrame([], FLAGS), 300, 0.7)
     assert out.pairs().isEmpty() and out.report().isEmpty()
+
+
+def edited(rng, text, every, word):
+    """The text with every `every`-th word, or a random one in `every` if negative, put in anew."""
+    return [word() if (i % every == 0 if every > 0 else rng.random() < -1 / every) else w for i, w in enumerate(text)]
+
+
+def test_scattered_edits_are_found(spark, make_raw):
+    """Single words changed all over leave no long run, or no passage of five words, in common."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    kana = lambda: chr(0x4E00 + rng.randrange(3000))
+    texts = []
+    for make, sizes in ((word, (60, 300)), (kana, (320,))):
+        for n in sizes:
+            for every in (4, 5, -5, -4, -3):
+                base = [make() for _ in range(n)]
+                texts += [base, edited(rng, base, every, make)]
+    bodies = [(" " if len(t[0]) > 1 else "").join(t) for t in texts]
+    raw = make_raw([(i, f"h{i % 7}.test", f"<html><body><p>{b}</p></body></html>") for i, b in enumerate(bodies)])
+    splits = [(i, "test" if i % 2 else "train", "m") for i in range(len(texts))]
+    out = SplitOverlap(spark, raw, spark.createDataFrame(splits, STRESS), spark.createDataFrame([], FLAGS), 300, 0.7)
+    got = {(r.eval_id, r.train_id) for r in out.pairs().collect()}
+    want = {(i, j) for i in range(1, len(texts), 2) for j in range(0, len(texts), 2) if lcs(texts[i], texts[j]) >= 0.7 * max(len(texts[i]), len(texts[j]))}
+    assert got == want and len(want) >= 12
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=40), min_size=1, max_size=5), st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=40))
+def test_candidates_miss_nothing(held, words):
+    got = {m for m, _, _, _ in Held([(i, " ".join(h)) for i, h in enumerate(held)], 0.7).matches(-1, " ".join(words))}
+    assert got == {i for i, h in enumerate(held) if lcs(h, words) >= 0.7 * max(len(h), len(words))}

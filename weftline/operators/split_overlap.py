@@ -1,14 +1,15 @@
 """Records of the evaluation splits that also occur, exactly or nearly, in the training split.
 
-Bodies are normalised to words. Bodies equal word for word are one text, so copies cost nothing. Texts
-that share a long run of words are routed to each other; each shard of evaluation texts then becomes one
-Aho-Corasick automaton over their passages, which scans every training text routed to the shard. Matched
-intervals are merged into the coverage of each evaluation text, and what is covered enough is checked
-exactly: words in the same order, by the longest common subsequence.
+Bodies are normalised to words. Bodies equal word for word are one text, so copies cost nothing. Evaluation
+texts of like length are held together, and every training text whose length allows a pair is held against
+all of them: bitmaps of the words tell how many words two texts can have in common at most, and each pair
+that may reach the wanted share is checked exactly, words in the same order, by the longest common
+subsequence. No pair is dropped by anything but a bound that holds for all texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,20 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.hashing import sliding, window_hashes
+from weftline.functions.hashing import mixed, sliding, window_hashes
 from weftline.functions.names import site as site_of
 from weftline.functions.names import split_name
 from weftline.operators.pages import SiteFacts, judge_lines, key_of, line_evidence, page_lines, with_evidence
 from weftline.session import Scratch
 
-RUN = 12  # words of the runs that route texts to each other
+RUN = 12  # words of the runs of route_seeds
 RUN_WIDE = 36  # characters instead, of texts in scripts without blanks
 WINDOW = 16  # every common run of RUN + WINDOW - 1 words gives a common seed
-MANY = 24  # seeds of both texts from which one common seed isn't enough to route: texts mostly alike have several
-PASSAGE = 5  # words of an automaton's passage
-COVERED = 0.3  # share of an evaluation text that passages must cover before the exact check
-SHARD = 64  # evaluation texts in one automaton; the fewer, the fewer passages that a text shares with others by chance
-SCAN = 5_000  # training texts that one task scans for a shard, about
+PASSAGE = 5  # words of the passages that make up a pair's coverage
+HELD = 8_192  # evaluation texts that a task holds at once, and
+HELD_BYTES = 64 << 20  # bytes of their bitmaps
+WORK = 40_000_000  # pairs that one task compares, about
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _PLAIN = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -82,8 +82,63 @@ def common_words(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-_BODY_ARROW = pa.schema([("raw_id", pa.int64()), ("site", pa.string()), ("size", pa.int32()), ("mark", pa.int64()), ("text", pa.string()), ("seeds", pa.list_(pa.int64()))])
-_BODY_DDL = "raw_id BIGINT, site STRING, size INT, mark BIGINT, text STRING, seeds ARRAY<BIGINT>"
+def word_tokens(words: list[str]) -> np.ndarray:
+    """Hashes of the words, each with the number of its occurrence: texts have as many in common as their bags of words."""
+    ids = np.sort(_word_hashes(words))
+    place = np.arange(len(ids))
+    first = np.ones(len(ids), bool)
+    first[1:] = ids[1:] != ids[:-1]
+    nth = place - np.maximum.accumulate(np.where(first, place, 0))
+    return mixed(ids + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """A set of tokens in `bits` bits, a power of two from 64. Two sets differ in at least as many tokens as their bitmaps in bits."""
+    b = np.zeros(bits, np.uint8)
+    b[tokens & np.uint64(bits - 1)] = 1
+    return np.packbits(b, bitorder="little").view(np.uint64)
+
+
+def folded(bitmaps: np.ndarray, times: int) -> np.ndarray:
+    """Bitmaps of a `times`-th of the bits; what holds for bitmaps holds for them."""
+    return np.bitwise_or.reduce(bitmaps.reshape(*bitmaps.shape[:-1], times, -1), axis=-2)
+
+
+def places(words: list[str]) -> dict[str, int]:
+    """The positions of each word, as bits."""
+    at: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(words):
+        at[w] |= 1 << i
+    return at
+
+
+def common_if(at: dict[str, int], n: int, words: list[str], least: int) -> int | None:
+    """Length of the longest common subsequence of `words` and the n words at `at`; None as soon as it can't reach `least`."""
+    full = row = (1 << n) - 1
+    for start in range(0, len(words), 16):
+        if n - row.bit_count() + len(words) - start < least:
+            return None
+        for w in words[start : start + 16]:
+            if w in at:
+                hit = row & at[w]
+                row = ((row + hit) | (row - hit)) & full
+    same = n - row.bit_count()
+    return same if same >= least else None
+
+
+def coverage(mine: list[str], words: list[str]) -> float:
+    """Share of `mine` that passages of PASSAGE words cover which stand in `words` too."""
+    k = min(PASSAGE, len(mine))
+    there = {tuple(words[p : p + k]) for p in range(len(words) - k + 1)}
+    hit = np.zeros(len(mine), bool)
+    for p in range(len(mine) - k + 1):
+        if tuple(mine[p : p + k]) in there:
+            hit[p : p + k] = True
+    return float(hit.mean())
+
+
+_BODY_ARROW = pa.schema([("raw_id", pa.int64()), ("site", pa.string()), ("size", pa.int32()), ("mark", pa.int64()), ("text", pa.string()), ("words", pa.int32())])
+_BODY_DDL = "raw_id BIGINT, site STRING, size INT, mark BIGINT, text STRING, words INT"
 
 
 def _body_batches(least: int):
@@ -105,7 +160,7 @@ def _body_batches(least: int):
                     if len(body) >= least:
                         words = body_words(body)
                         text = " ".join(words)
-                        out.append((plain["page_id"][i], host, len(body), key_of(text), text, route_seeds(words)))
+                        out.append((plain["page_id"][i], host, len(body), key_of(text), text, len(words)))
                 columns = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BODY_ARROW)], schema=_BODY_ARROW)
 
@@ -113,7 +168,7 @@ def _body_batches(least: int):
 
 
 def normal_bodies(spark: SparkSession, raw: DataFrame, least: int) -> DataFrame:
-    """(raw_id, site, size, mark, text, seeds) of the records whose body has at least `least` characters."""
+    """(raw_id, site, size, mark, text, words) of the records whose body has at least `least` characters."""
     keep = Scratch(spark, "normal")
     pages = keep.put(page_lines(raw))
     evidence = keep.put(line_evidence(pages))
@@ -123,61 +178,65 @@ def normal_bodies(spark: SparkSession, raw: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def _scan_batches(least_same: float):
-    import ahocorasick
-
-    def build(evals: list[tuple[int, list[str]]]):
-        passages: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for e, (_, words) in enumerate(evals):
-            for p in range(max(1, len(words) - PASSAGE + 1)):
-                passages[" " + " ".join(words[p : p + PASSAGE]) + " "].append((e, p))
-        automaton = ahocorasick.Automaton()
-        for passage, owners in passages.items():
-            automaton.add_word(passage, owners)
-        automaton.make_automaton()
-        return automaton
+class Held:
+    """Evaluation texts against which training texts are held, shortest first."""
+
+    def __init__(self, texts: list[tuple[int, str]], least_same: float) -> None:
+        split = sorted(((len(words), mark, text, words) for mark, text in texts for words in [text.split(" ")]), key=lambda e: e[:2])
+        self.least_same = least_same
+        self.sizes = np.array([e[0] for e in split])
+        self.marks, self.texts = [e[1] for e in split], [e[2] for e in split]
+        self.bits = max(256, 1 << (int(self.sizes[-1]).bit_length() + 3))
+        self.fine = np.stack([bitmap(word_tokens(e[3]), self.bits) for e in split])
+        self.coarse = np.ascontiguousarray(folded(self.fine, 4).T)
+
+    def candidates(self, words: list[str]) -> np.ndarray:
+        """Positions of all texts that can have enough words in common with `words`, and few more."""
+        n, least = len(words), self.least_same
+        lo, hi = np.searchsorted(self.sizes, [math.ceil(least * n), math.floor(n / least + 1e-6) + 1])
+        if lo >= hi:
+            return np.zeros(0, np.int64)
+        sizes = self.sizes[lo:hi]
+        # Words of either text that are not in the other: so many at most.
+        room = sizes + n - 2 * np.ceil(least * np.maximum(sizes, n)).astype(np.int64)
+        mine = bitmap(word_tokens(words), self.bits)
+        off = np.zeros(hi - lo, np.int32)
+        for row, word in zip(self.coarse, folded(mine, 4)):
+            off += np.bitwise_count(row[lo:hi] ^ word)
+        near = np.flatnonzero(off <= room)
+        near = near[np.bitwise_count(self.fine[lo + near] ^ mine).sum(axis=1, dtype=np.int64) <= room[near]]
+        return lo + near
+
+    def matches(self, mark: int, text: str) -> Iterator[tuple[int, int, float, float]]:
+        """(eval_mark, train_mark, covered, same) of the texts that overlap; equal ones are linked elsewhere."""
+        words = text.split(" ")
+        at = None
+        for e in self.candidates(words):
+            if self.marks[e] == mark:
+                continue
+            at = at or places(words)
+            longer = max(len(words), int(self.sizes[e]))
+            mine = self.texts[e].split(" ")
+            same = common_if(at, len(words), mine, math.ceil(self.least_same * longer))
+            if same is not None:
+                yield self.marks[e], mark, coverage(mine, words), same / longer
 
+
+def _scan_batches(least_same: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: int | None = None
-        evals: list[tuple[int, list[str]]] = []
-        automaton = None
+        group: int | None = None
+        texts: list[tuple[int, str]] = []
+        held = None
         for batch in batches:
             out: list[tuple] = []
             for number, train, mark, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if number != shard:
-                    shard, evals, automaton = number, [], None
+                if number != group:
+                    group, texts, held = number, [], None
                 if not train:
-                    evals.append((mark, text.split(" ")))
-                    continue
-                if automaton is None:
-                    if not evals:
-                        continue
-                    automaton = build(evals)
-                places: dict[int, set[int]] = defaultdict(set)
-                for _, owners in automaton.iter(f" {text} "):
-                    for e, p in owners:
-                        places[e].add(p)
-                words = None
-                for e, found in places.items():
-                    other, mine = evals[e]
-                    if other == mark:  # equal texts are linked without a scan
-                        continue
-                    if len(found) + PASSAGE - 1 < COVERED * len(mine) / PASSAGE:
-                        continue
-                    covered = end = 0
-                    for p in sorted(found):
-                        stop = min(p + PASSAGE, len(mine))
-                        covered += stop - max(p, end) if stop > end else 0
-                        end = max(end, stop)
-                    if covered < COVERED * len(mine):
-                        continue
-                    words = words or text.split(" ")
-                    longer = max(len(words), len(mine))
-                    if min(len(words), len(mine)) < least_same * longer:
-                        continue
-                    same = common_words(mine, words)
-                    if same >= least_same * longer:
-                        out.append((other, mark, covered / len(mine), same / longer))
+                    texts.append((mark, text))
+                elif texts:
+                    held = held or Held(texts, least_same)
+                    out += held.matches(mark, text)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["eval_mark", "train_mark", "covered", "same"])
@@ -202,26 +261,27 @@ class SplitOverlap:
         self.members = keep.put(bodies.select("raw_id", "mark").join(splits, "raw_id").join(sites, "raw_id", "left"))
         train = F.col("split") == "train"
         kinds = self.members.groupBy("mark").agg(F.min("raw_id").alias("raw_id"), F.max(train).alias("train"), F.max(~train).alias("eval"))
-        texts = keep.put(bodies.drop("mark").join(kinds, "raw_id").select("mark", "train", "eval", "text", "seeds"))
-        seeds = texts.select("mark", "train", "eval", F.size("seeds").alias("n"), F.explode("seeds").alias("seed"))
-        ev, tr = seeds.where("eval").select("seed", F.col("mark").alias("e"), F.col("n").alias("ne")), seeds.where("train").select("seed", F.col("mark").alias("t"), F.col("n").alias("nt"))
-        met = ev.join(tr, "seed").where("e <> t").groupBy("e", "t").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("ne", "nt")).alias("n"))
-        route = keep.put(met.where((F.col("common") > 1) | (F.col("n") < MANY)).select("e", "t"))
-        found = route.select("e").distinct()
-        shards = max(1, -(-found.count() // SHARD))
-        shard = F.pmod(F.xxhash64(F.lit("shard"), F.col("e")), F.lit(shards)).cast("int")
-        routed = keep.put(route.select(shard.alias("shard"), "t").distinct())
-        # A shard to which many training texts lead is scanned by several tasks, each with the shard's automaton.
-        lanes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCAN).cast("int").alias("lanes"))
-        scanned = routed.join(lanes, "shard").join(texts.selectExpr("mark AS t", "text"), "t")
-        scanned = scanned.select("shard", F.pmod(F.xxhash64("t"), F.col("lanes")).cast("int").alias("lane"), F.lit(True).alias("train"), F.col("t").alias("mark"), "text")
-        held = found.join(texts.selectExpr("mark AS e", "text"), "e").select(shard.alias("shard"), F.col("e").alias("mark"), "text").join(lanes, "shard")
-        held = held.select("shard", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("train"), "mark", "text")
-        # Sorted, a lane's evaluation texts come before its training texts, which then stream past the automaton.
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4000, shards // 8))
-        ordered = held.unionAll(scanned).repartition(tasks, "shard", "lane").sortWithinPartitions("shard", "lane", "train")
-        number = F.col("shard") * F.lit(1_000_000) + F.col("lane")
-        near = ordered.select(number.alias("number"), "train", "mark", "text").mapInArrow(_scan_batches(least_same), "eval_mark BIGINT, train_mark BIGINT, covered DOUBLE, same DOUBLE")
+        texts = keep.put(bodies.drop("mark").join(kinds, "raw_id").select("mark", "train", "eval", "text", "words"))
+        # A band holds the texts of so many binary digits of words; a training text goes to the bands its length allows.
+        digits = lambda c: F.length(F.bin(c.cast("bigint")))
+        ev = texts.where("eval AND words > 0").select(digits(F.col("words")).alias("band"), "mark", "text")
+        bands = F.sequence(digits(F.floor(F.col("words") * least_same)), digits(F.ceil(F.col("words") / least_same)))
+        tr = texts.where("train AND words > 0").select(F.explode(bands).alias("band"), "mark", "text")
+        counts = {r["band"]: r["n"] for r in tr.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+        plan = []
+        for band, n in ev.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect():
+            slots = -(-n // max(1, min(HELD, HELD_BYTES >> (band + 1))))
+            plan.append((band, slots, max(1, -(-counts.get(band, 0) * n // slots // WORK))))
+        plan_rows = F.broadcast(spark.createDataFrame(plan, "band INT, slots INT, lanes INT"))  # a row for each binary digit
+        spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("mark")), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        held = ev.join(plan_rows, "band").select("band", spread("slot", "slots").alias("slot"), every("lanes").alias("lane"), F.lit(False).alias("train"), "mark", "text")
+        scanned = tr.join(plan_rows, "band").select("band", every("slots").alias("slot"), spread("lane", "lanes").alias("lane"), F.lit(True).alias("train"), "mark", "text")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4000, 2 * sum(s * k for _, s, k in plan)))
+        # Sorted, a group's evaluation texts come before its training texts, which then stream past them.
+        number = (F.col("band").cast("bigint") * F.lit(1 << 26) + F.col("slot")) * F.lit(1 << 26) + F.col("lane")
+        ordered = held.unionAll(scanned).select(number.alias("number"), "train", "mark", "text").repartition(tasks, "number").sortWithinPartitions("number", "train")
+        near = ordered.mapInArrow(_scan_batches(least_same), "eval_mark BIGINT, train_mark BIGINT, covered DOUBLE, same DOUBLE")
         equal = texts.where("eval AND train").selectExpr("mark AS eval_mark", "mark AS train_mark", "1.0D AS covered", "1.0D AS same")
         self.links = keep.put(near.unionAll(equal))
 
