@@ -101,3 +101,15 @@ def test_scattered_edits_are_found(spark, make_raw):
 def test_candidates_miss_nothing(held, words):
     got = {m for m, _, _, _ in Held([(i, " ".join(h)) for i, h in enumerate(held)], 0.7).matches(-1, " ".join(words))}
     assert got == {i for i, h in enumerate(held) if lcs(h, words) >= 0.7 * max(len(h), len(words))}
+
+
+def test_no_common_passage_is_no_bar(spark, make_raw):
+    """Every fourth word differs: no passage of five words is in both texts, 75 % of the words are."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(200)]
+    other = edited(rng, base, 4, word)
+    raw = make_raw([(i, f"h{i}.test", f"<html><body><p>{' '.join(t)}</p></body></html>") for i, t in enumerate((base, other))])
+    out = SplitOverlap(spark, raw, spark.createDataFrame([(0, "train", "m"), (1, "test", "m")], STRESS), spark.createDataFrame([], FLAGS), 300, 0.7)
+    assert [(r.eval_id, r.train_id, r.covered, r.same) for r in out.pairs().collect()] == [(1, 0, 0.0, 0.75)]
+    assert [(r.split, r.records, r.pairs) for r in out.report().collect()] == [("test", 1, 1)]
