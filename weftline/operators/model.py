@@ -183,11 +183,20 @@ def pairs_of_edits(before: DataFrame, after: DataFrame, key: str, probability: s
 
 
 def review_manifest(cases: DataFrame, case: str, component: str, seed: str = "review", others: int = 5) -> DataFrame:
-    """(case, split, partners): half of the components by hash are development; each case is shown with its hash-nearest cases of the same split."""
+    """(case, split, partners): half of the components by hash are development; each case is shown with the `others` cases of the same split that follow it by hash, the first ones after the last."""
     from pyspark.sql import Window as W
 
     h = lambda *c: F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(x).cast("string") for x in c]), 256)
-    d = cases.select(case, component).distinct().withColumn("split", F.when(F.substring(h(component), 1, 1).isin(*"01234567"), "development").otherwise("heldout")).withColumn("h", h(case))
-    w = W.partitionBy("split", F.substring("h", 1, 2)).orderBy("h")
-    follow = F.array_compact(F.array(*[F.lead(case, i).over(w) for i in range(1, others + 1)]))
-    return d.select(case, "split", follow.alias("partners"))
+    halves = F.when(F.substring(h(component), 1, 1).isin(*"01234567"), "development").otherwise("heldout")
+    d = cases.select(case, halves.alias("split")).distinct().withColumn("h", h(case)).withColumn("bucket", F.substring("h", 1, 2))
+    w = W.partitionBy("split", "bucket").orderBy("h")
+    # What follows a bucket's end is among the first rows of the other buckets: 256 of them in a split, `others` rows of each.
+    first = d.withColumn("n", F.row_number().over(w)).where(F.col("n") <= others)
+    heads = first.groupBy("split", "bucket").agg(F.array_sort(F.collect_list(F.struct("h", F.col(case).alias("case")))).alias("own"))
+    ring = heads.groupBy("split").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("ring"))
+    near = lambda side: F.filter("ring", lambda x: side(F.substring(x["h"], 1, 2)))
+    beyond = F.slice(F.concat(near(lambda b: b > F.col("bucket")), near(lambda b: b < F.col("bucket"))), 1, others)
+    ends = heads.join(ring, "split").select("split", "bucket", F.concat(beyond, "own")["case"].alias("beyond"))
+    follow = d.withColumn("inside", F.array_compact(F.array(*[F.lead(case, i).over(w) for i in range(1, others + 1)])))
+    partners = F.slice(F.array_remove(F.array_distinct(F.concat("inside", "beyond")), F.col(case)), 1, others)
+    return follow.join(F.broadcast(ends), ["split", "bucket"]).select(case, "split", partners.alias("partners"))  # at most 512 rows of ends
