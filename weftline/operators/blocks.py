@@ -47,24 +47,54 @@ def supported_headings(blocks: DataFrame, least_words: int = 5) -> DataFrame:
     return h.withColumn("n", first).where("n = 1").select(*DOCUMENT, "block_id")
 
 
+def chains(ups: dict[str, str | None], quotes: dict[str, bool]) -> dict[str, tuple[int, str, bool]]:
+    """(levels above, topmost block, whether a quote is in the chain) of each block, each followed once."""
+    done: dict[str, tuple[int, str, bool]] = {}
+    for x in ups:
+        path: list[str] = []
+        at: dict[str, int] = {}
+        while x not in done and x not in at:
+            if ups[x] not in ups:
+                done[x] = (0, x, quotes[x])
+                break
+            at[x] = len(path)
+            path.append(x)
+            x = ups[x]
+        if x not in done:
+            ring = path[at[x] :]
+            quoted = any(quotes[y] for y in ring)
+            done |= {y: (len(ring), y, quoted) for y in ring}
+            del path[at[x] :]
+        for y in reversed(path):
+            depth, root, quoted = done[ups[y]]
+            done[y] = (depth + 1, root, quoted or quotes[y])
+    return done
+
+
+def _depth_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("snapshot_id", pa.string()), ("method", pa.string()), ("block_id", pa.string()), ("depth", pa.int32()), ("root", pa.string()), ("quoted", pa.bool_())])
+    for batch in batches:
+        out: list[tuple] = []
+        for snapshot, method, blocks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            whole = snapshot is not None and method is not None  # blocks of no document have no parents
+            ups = {b["id"]: b["up"] if whole else None for b in blocks if b["id"] is not None}
+            found = chains(ups, {b["id"]: b["kind"] == "quote" for b in blocks})
+            for b in blocks:
+                depth, root, quoted = found.get(b["id"], (0, None, b["kind"] == "quote"))
+                out.append((snapshot, method, b["id"], depth, root, quoted or (None if b["kind"] is None else False)))
+        columns = list(zip(*out)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def depths(blocks: DataFrame) -> DataFrame:
     """(snapshot_id, method, block_id, depth, root, quoted): levels above a block, its topmost block and whether a quote holds it.
 
-    Parents are followed a level at a time by joins inside the document; a parent that is missing ends the
-    chain, as does a circle after as many levels as it has blocks.
+    Parents are followed inside the document, however deep; a parent that is missing ends the chain, as does
+    a circle after as many levels as it has blocks. Block ids are distinct in a document.
     """
-    base = blocks.select(*DOCUMENT, "block_id", F.col("parent_id").alias("up"), F.col("block_id").alias("root"), F.lit(0).alias("depth"), (F.col("block_type") == "quote").alias("quoted"))
-    parents = blocks.select(*DOCUMENT, F.col("block_id").alias("pid"), F.col("parent_id").alias("next"), (F.col("block_type") == "quote").alias("pq"))
-    done = None
-    for _ in range(64):
-        ended = base.where("up IS NULL")
-        done = ended if done is None else done.unionAll(ended)
-        open_ = base.where("up IS NOT NULL")
-        if open_.isEmpty():
-            break
-        j = open_.join(parents, [*[open_[c] == parents[c] for c in DOCUMENT], open_["up"] == parents["pid"]], "left")
-        base = j.select(*[open_[c] for c in DOCUMENT], open_["block_id"], F.col("next").alias("up"), F.coalesce("pid", "root").alias("root"), (F.col("depth") + F.col("pid").isNotNull().cast("int")).alias("depth"), (F.col("quoted") | F.coalesce("pq", F.lit(False))).alias("quoted"))
-    return done.select(*DOCUMENT, "block_id", "depth", "root", "quoted")
+    b = F.struct(F.col("block_id").alias("id"), F.col("parent_id").alias("up"), F.col("block_type").alias("kind"))
+    whole = blocks.groupBy(*DOCUMENT).agg(F.collect_list(b).alias("blocks"))
+    return whole.mapInArrow(_depth_batches, "snapshot_id STRING, method STRING, block_id STRING, depth INT, root STRING, quoted BOOLEAN")
 
 
 def tree_faults(blocks: DataFrame) -> DataFrame:
