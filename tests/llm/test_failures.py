@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from weftline.llm.failures import PLACEHOLDER, STUB, FailurePages, Logistic, describe, is_filler, weak_label
+from weftline.llm.failures import PLACEHOLDER, STUB, FailurePages, Logistic, _slot, describe, is_filler, weak_label
 
 
 @pytest.mark.parametrize(
@@ -73,3 +73,18 @@ def test_pages_on_unseen_sites(spark, make_raw):
 def test_no_pages(spark, make_raw):
     flags = spark.createDataFrame([], "raw_id BIGINT, clear_failure_union BOOLEAN")
     assert FailurePages(spark, make_raw([]), flags).scored().isEmpty()
+
+
+def test_long_notices_in_place_of_content():
+    """A notice of one longer paragraph is the page's message, unless prose stands beside it."""
+    notice = (
+        "Access to this page has been denied because we believe you are using automation tools to browse the website. This may"
+        " happen when cookies are switched off in your browser, or when an extension keeps parts of the page from loading as they should."
+    )
+    prose = "The harbour opens at six and the boats leave with the tide, which the keepers note in a book that lies on the long table by the door for all to read through the whole of the season."
+    assert 200 < len(notice) < 400
+    full = {_slot(f"size f {n}") for n in range(13)}
+    for texts, want in (([notice], True), ([notice, notice], True), ([notice, prose], False), ([prose], False)):
+        n = len(texts)
+        slots, _, hit = describe("", "", texts, [0] * n, [False] * n, [None] * n, [True] * n)
+        assert hit == want and full.isdisjoint(slots) == want

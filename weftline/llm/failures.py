@@ -24,7 +24,8 @@ DIMENSIONS = 1 << 17  # of the hashed features
 PENALTY = 1e-4  # of the squared weights, for each row
 THRESHOLD = 0.5
 PROSE = 120  # weighted characters of prose that make a page one with content
-MESSAGE = 160  # weighted characters up to which a line may be a message
+MESSAGE = 160  # weighted characters up to which a line may be a message beside prose
+NOTICE = 400  # weighted characters up to which a line may be a message where no prose stands beside it
 
 # Syntaxes of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -75,9 +76,9 @@ def describe(title: str, notice: str, texts: list, linked: list, code: list, pla
     without scripts where there are no others; repeated slots count once.
     """
     own = [(p if p is not None else t, a) for t, a, c, p, k in zip(texts, linked, code, plain, keep) if k and not c]
-    holes = prose = filler = 0
+    holes = filler = 0
     grams: list[str] = []
-    messages = []
+    messages, long = [], []
     for text, link in own:
         if "{" in text or "<" in text or "[" in text or "%" in text or "_" in text or "@" in text or "*" in text or "TODO" in text:
             text, n = PLACEHOLDER.subn(" \x01 ", text)
@@ -86,12 +87,19 @@ def describe(title: str, notice: str, texts: list, linked: list, code: list, pla
         if size >= 40 and 2 * link < len(text) and is_filler(text):
             filler += 1
         elif size > MESSAGE and 2 * link < len(text):
-            prose += size
+            long.append((text, size, link))
         if size <= MESSAGE:
             messages.append((text, size, link))
-    # A line that may be a message counts as prose only where no phrase of messages stands in it; long prose decides alone.
-    if prose < PROSE:
-        prose += sum(n for t, n, a in messages if n >= 60 and 2 * a < len(t) and not PHRASES.search(t) and not is_filler(t))
+    # A line that may be a message counts as prose only where no phrase of messages stands in it; one long line without a phrase, or too long for a notice, decides alone.
+    if any(n > NOTICE or not PHRASES.search(t) for t, n, _ in long):
+        prose = sum(n for _, n, _ in long)
+    else:
+        prose = sum(n for t, n, a in messages if n >= 60 and 2 * a < len(t) and not PHRASES.search(t) and not is_filler(t))
+        # Without other prose, long lines with a phrase are what the page has to say: a notice.
+        if prose >= PROSE:
+            prose += sum(n for _, n, _ in long)
+        else:
+            messages += long
     state = "f" if prose >= PROSE else "b"
     messages = [t for t, _, _ in messages]
     hit = False
