@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.pages import SiteFacts, judge_lines, line_evidence, page_lines, weight, with_evidence
+from weftline.llm.pages import SiteFacts, judge_lines, line_evidence, page_lines, weight, with_evidence
 from weftline.session import Scratch
 
 SENTENCE = 60  # characters from which a linked line counts as text: menus and cards are shorter, or told by the evidence

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import main_body, mixing, packing, repeated_lines
+from weftline.llm import main_body, mixing, packing, repeated_lines, split_queries
 from weftline.llm.failures import FailurePages
 from weftline.llm.spans import SharedSpans
 from weftline.session import setting, table
@@ -133,5 +133,6 @@ QUERIES = {
         p7_found, p7_containers, p7_report, p8_found, p8_mixture, p8_shares, p9_found, p9_spans, p9_coverage,
     )
 }
-#: The operators read payloads or tokens, or chain seeds, none of which SQL can say; their tests use brute force.
-ORACLE: dict[str, str] = {}
+QUERIES |= split_queries.QUERIES
+#: The other operators read payloads or tokens, or chain seeds, none of which SQL can say; their tests use brute force.
+ORACLE: dict[str, str] = dict(split_queries.ORACLE)

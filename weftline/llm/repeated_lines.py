@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from weftline.operators.pages import page_lines
+from weftline.llm.pages import page_lines
 from weftline.session import Scratch
 
 SPAN = 32_768  # numbers in a container

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.hashing import sliding, window_hashes
+from weftline.llm.hashing import sliding, window_hashes
 from weftline.session import Scratch
 
 SEED = 128  # characters of a seed, at most; a third below the wanted length for short ones
