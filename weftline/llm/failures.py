@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.pages import SiteFacts, judge_lines, line_evidence, page_lines, weight, with_evidence
+from weftline.llm.pages import page_lines, weight
 from weftline.session import Scratch
 
 SAMPLE = 16_000  # pages that the fit and its validation may see together

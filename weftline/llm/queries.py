@@ -58,12 +58,12 @@ def p2_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of HTML pages that aren't body."""
-    return main_body.outside_body(main_body.page_bodies(spark, table(spark, folder, "raw")))
+    return main_body.outside_body(spark, table(spark, folder, "raw"))
 
 
 def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """The body of each HTML page."""
-    return main_body.body_texts(main_body.page_bodies(spark, table(spark, folder, "raw")))
+    return main_body.body_texts(spark, table(spark, folder, "raw"))
 
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from weftline.llm.pages import page_lines
+from weftline.llm.pages import line_texts, page_lines
 from weftline.session import Scratch
 
 SPAN = 32_768  # numbers in a container
@@ -85,7 +85,7 @@ def _cardinality(data: pd.Series) -> pd.Series:
 def numbered_pages(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """(page_id, site, payload, number, lines) of the HTML pages; rows with one payload of a site share a number."""
     keep = Scratch(spark, "numbered")
-    pages = keep.put(page_lines(raw).where("html AND site IS NOT NULL").select("page_id", "site", "payload", F.array_distinct("texts").alias("lines")))
+    pages = keep.put(page_lines(raw).where("html AND site IS NOT NULL").select("page_id", "site", "payload", F.array_distinct(line_texts()).alias("lines")))
     lane = F.pmod(F.col("payload"), F.lit(NUMBERERS))
     order = F.row_number().over(W.partitionBy("site", "lane").orderBy("payload"))
     numbers = pages.select("site", "payload").distinct().withColumn("lane", lane).select("site", "payload", ((order - 1) * NUMBERERS + F.col("lane")).alias("number"))

@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _overlap(spark: SparkSession, folder: str) -> SplitOverlap:
     least, same = int(setting(spark, folder, "overlap_min_body")), setting(spark, folder, "overlap_min_same")
-    return SplitOverlap(spark, table(spark, folder, "raw"), table(spark, folder, "raw_stress"), table(spark, folder, "quality_flags"), least, same)
+    return SplitOverlap(spark, table(spark, folder, "raw"), table(spark, folder, "raw_stress"), table(spark, folder, "quality_flags"), least, same, table(spark, folder, "snapshots"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
