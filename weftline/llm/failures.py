@@ -1,14 +1,17 @@
 """Pages with template residue, filler, messages of failure or requests for scripts in place of content.
 
-A regularised logistic model on hashed n-grams, length and title features. Its weak labels come from the
-response status that quality flags report and from phrases and placeholder syntax; it is fitted on a
-bounded sample of pages and validated on sites that the fit has not seen. Every page is then scored.
+A regularised logistic model on hashed n-grams, length and title features, which alone decides. Its weak labels
+come from voters: the response status that quality flags report, placeholder syntax, nonsense Latin, stub values
+and phrases of messages on short pages. How far each is to be trusted is estimated from how they agree, and their
+votes become a probability for each page. The model is fitted on a bounded sample of pages and validated on
+sites that the fit has not seen. Every page is then scored, on whole texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.pages import page_lines, weight
+from weftline.llm.main_body import body_flags
+from weftline.llm.pages import Page, line_weights, page_lines, page_of, weight, with_marks
 from weftline.session import Scratch
 
-SAMPLE = 16_000  # pages that the fit and its validation may see together
-DIMENSIONS = 1 << 17  # of the hashed features
-PENALTY = 1e-4  # of the squared weights, for each row
+SAMPLE = 16_000  # pages that the label model, the fit and its validation may see together
+ODD = 24_000  # pages with odd tokens that they may see beside these
+QUIET = 4_000  # of them, at most, without a vote and without odd tokens, that the fit sees
+DIMENSIONS = 1 << 19  # of the hashed features; the upper half is for words of longer pages, which count SOFT
+SOFT = 0.05
+PENALTY = 1e-4  # of the squared weights
+RATE = 0.1  # of the first gradient steps
 THRESHOLD = 0.5
-PROSE = 120  # weighted characters of prose that make a page one with content
-MESSAGE = 160  # weighted characters up to which a line may be a message beside prose
-NOTICE = 400  # weighted characters up to which a line may be a message where no prose stands beside it
+DOUBT = 0.05  # of a page for which one rule votes
+UNSEEN = 0.02  # of pages without a vote are failures, before their status is seen
+SHORT = 400  # weighted characters of text below which a page's words are told apart from those of longer ones
 
 # Syntaxes of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -52,141 +60,160 @@ FILLER = (
     " eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum"
 )
 _STEMS = frozenset(w[:3] for w in FILLER.split() if len(w) > 2)
+_ODD = re.compile(r"[{}<>\[\]%@#$*|_]|TODO")
+_SHAPE = (re.compile(r"[^\W\d_]+(?:[._][^\W\d_]+)*"), re.compile(r"\d+"))
 _WORDS = re.compile(r"[぀-ヿ㐀-鿿]{1,4}|[^\W\d_]+|\d+")
+_NUMBERED = re.compile(r"(?<![\w$#{])\{\d+\}(?!\})")
 
 
 def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & (DIMENSIONS - 1)
+    return zlib.crc32(feature.encode()) & (DIMENSIONS // 2 - 1)
 
 
-def is_filler(text: str) -> bool:
-    """Whether most words of a text are nonsense Latin."""
-    words = [w for w in text.split() if len(w) > 2]
-    some = words[::5]  # over the whole text; most texts are told apart by these
-    if len(words) > 25 and sum(w[:3].lower() in _STEMS for w in some) < 0.4 * len(some):
-        return False
-    words = [w.lower() for w in words]
-    return len(words) >= 5 and sum(w[:3] in _STEMS for w in words) >= 0.6 * len(words)
+class _Slots(dict):
+    """Slots of features met before, up to a bound."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        slot = self[feature] = _slot(feature)
+        return slot
+
+
+_SLOTS = _Slots()
+
 
+def shape(token: str) -> str:
+    """A token with runs of letters, dotted ones too, and of digits each made one sign, without punctuation around it."""
+    return _SHAPE[1].sub("#", _SHAPE[0].sub("a", token.strip(".,;:!?()\"'…。、")))
 
-def describe(title: str, notice: str, texts: list, linked: list, code: list, plain: list, keep: list[bool]) -> tuple[list[int], int, bool]:
-    """Feature slots of a page, how many placeholders its running text has, and whether a message phrase stands on it in place of content.
 
-    Counted are the lines that are left in the body and aren't sample code, and the notice for browsers
-    without scripts where there are no others; repeated slots count once.
+def own_texts(page: Page, plain: str | None, notice: str) -> list[str]:
+    """The body's lines without sample code; where there are none, what the page says without scripts.
+
+    In lines that are links to other pages or remarks, the site's visitors or other pages speak; they aren't the page's own.
     """
-    own = [(p if p is not None else t, a) for t, a, c, p, k in zip(texts, linked, code, plain, keep) if k and not c]
-    holes = filler = 0
-    grams: list[str] = []
-    messages, long = [], []
-    for text, link in own:
-        if "{" in text or "<" in text or "[" in text or "%" in text or "_" in text or "@" in text or "*" in text or "TODO" in text:
-            text, n = PLACEHOLDER.subn(" \x01 ", text)
-            holes += n
-        size = weight(text)
-        if size >= 40 and 2 * link < len(text) and is_filler(text):
-            filler += 1
-        elif size > MESSAGE and 2 * link < len(text):
-            long.append((text, size, link))
-        if size <= MESSAGE:
-            messages.append((text, size, link))
-    # A line that may be a message counts as prose only where no phrase of messages stands in it; one long line without a phrase, or too long for a notice, decides alone.
-    if any(n > NOTICE or not PHRASES.search(t) for t, n, _ in long):
-        prose = sum(n for _, n, _ in long)
-    else:
-        prose = sum(n for t, n, a in messages if n >= 60 and 2 * a < len(t) and not PHRASES.search(t) and not is_filler(t))
-        # Without other prose, long lines with a phrase are what the page has to say: a notice.
-        if prose >= PROSE:
-            prose += sum(n for _, n, _ in long)
+    prose = plain.split("\n") if plain is not None else None
+    lines = zip(page.texts, page.code, body_flags(page), line_weights(page))
+    texts = [(prose[i] or t) if prose else t for i, (t, c, b, w) in enumerate(lines) if b and not c and w == 1.0]
+    return texts or ([notice] if notice else [])
+
+
+def describe(title: str, texts: list[str]) -> list[int]:
+    """Feature slots of a page: words and pairs of them, odd tokens by shape with their neighbours, length and title. Repeated ones count once."""
+    size = sum(map(weight, texts))
+    kind = "b" if size < SHORT else "f"
+    found: set[str] = {f"size {min(14, size.bit_length())}", f"lines {kind} {min(6, len(texts).bit_length())}"}
+    soft: set[str] = set()
+    for text in texts:
+        low = text.lower()
+        if kind == "b":
+            words = ["#" if w.isdigit() else w for w in _WORDS.findall(low)]
+            found.update(f"b {w}" for w in words)
+            found.update(f"b {a} {b}" for a, b in zip(words, words[1:]))
+            found.add(f"b line {words[0]} {words[-1]} {len(words)}" if words and len(words) < 4 else "b line")
         else:
-            messages += long
-    state = "f" if prose >= PROSE else "b"
-    messages = [t for t, _, _ in messages]
-    hit = False
-    if state == "b":
-        if notice and not own:
-            messages.append(notice)
-        hit = filler > 0 or any(STUB.fullmatch(t) or PHRASES.search(t) for t in messages)
-    for text in messages:
-        if state == "b":
-            words = ["#" if w.isdigit() else w for w in _WORDS.findall(text.lower())]
-            grams += [f"b {w}" for w in words]
-            grams += [f"b {a} {b}" for a, b in zip(words, words[1:])]
-        if len(text) < 24 and STUB.fullmatch(text):
-            grams.append(f"{state} stub")
+            soft.update(["f " + w for w in low.split()])
+        if _ODD.search(text):
+            tokens = text.split()
+            for i, token in enumerate(tokens):
+                if _ODD.search(token):
+                    form = shape(token)
+                    before = shape(tokens[i - 1]) if i and _ODD.search(tokens[i - 1]) else _SHAPE[1].sub("#", tokens[i - 1].lower()) if i else "^"
+                    after = shape(tokens[i + 1]) if i + 1 < len(tokens) and _ODD.search(tokens[i + 1]) else _SHAPE[1].sub("#", tokens[i + 1].lower()) if i + 1 < len(tokens) else "$"
+                    found.update((f"s {form}", f"s {before} {form}", f"s {form} {after}", f"sw {_SHAPE[1].sub('#', token.lower())}"))
+                    found.update(f"c {form[k : k + 3]}" for k in range(len(form) - 2))
     if title:
-        if state == "b":
-            words = ["#" if w.isdigit() else w for w in _WORDS.findall(PLACEHOLDER.sub(" ", title).lower())]
-            grams += [f"bt {w}" for w in words]
-        grams.append(f"t is line {state}" if any(t == title for t, _ in own[:3]) else f"t isn't line {state}")
-    if filler:
-        grams += ["filler", f"filler {state}"]
-    grams.append(f"size {state} {min(12, int(prose).bit_length())}")
-    grams.append(f"lines {state} {min(6, len(own).bit_length())}")
-    if holes:
-        grams += ["hole", f"hole {state}"]
-        if holes > 1:
-            grams.append(f"holes {state}")
-    return sorted({_slot(g) for g in grams}), holes, hit
-
-
-def _pages_out(whole: pa.RecordBatch, facts: SiteFacts) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
-    """Pages of a batch, a slice at a time, so that no more than a slice is in Python's objects."""
-    for lo in range(0, whole.num_rows, 256):
-        yield from _slice_out(whole.slice(lo, 256), facts)
-
-
-def _slice_out(batch: pa.RecordBatch, facts: SiteFacts) -> Iterator[tuple[int, str, bool, list[int], int, bool]]:
-    names = batch.schema.names
-    column = {n: batch.column(i) for i, n in enumerate(names)}
-    plain = {n: column[n].to_pylist() for n in names if n != "facts"}
-    for i in range(batch.num_rows):
-        host = plain["site"][i]
-        known = facts.of(host, column["facts"], i)
-        texts = plain["texts"][i]
-        keep = judge_lines(texts, *(plain[n][i] for n in ("blocks", "linked", "code", "keys", "bare")), plain["heads"][i] or 0, known)
-        slots, holes, hit = describe(plain["title"][i] or "", plain["notice"][i] or "", texts, plain["linked"][i], plain["code"][i], plain["plain"][i], keep)
-        yield plain["page_id"][i], host, plain["flag"][i], slots, holes, hit
+        if kind == "b":
+            found.update(f"t {'#' if w.isdigit() else w}" for w in _WORDS.findall(title.lower()))
+        found.add(f"title {kind} {title in texts}")
+    return sorted({_SLOTS[f] for f in found} | {_SLOTS[f] + DIMENSIONS // 2 for f in soft})
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    facts = SiteFacts()
-    for batch in batches:
-        rows = list(_pages_out(batch, facts))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        types = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["raw_id", "site", "flag", "slots", "holes", "hit"])
+def is_filler(text: str) -> bool:
+    """Whether most words of a text are nonsense Latin."""
+    words = [w for w in text.lower().split() if len(w) > 2]
+    return len(words) >= 5 and sum(w[:3] in _STEMS for w in words) >= 0.6 * len(words)
+
+
+#: Voters, beside the response status.
+VOTERS = ("placeholder", "numbers", "filler", "stub", "phrase")
+
+
+def votes(texts: list[str]) -> tuple[list[bool], list[tuple[str, str]]]:
+    """What each voter says of a page, and its numbers in braces with the words around them.
+
+    Placeholders with a name vote; numbers in braces vote only by `numbered`. Stubs and phrases vote where the page has no more than a message's text.
+    """
+    named, numbers = False, []
+    for text in texts:
+        if _ODD.search(text):
+            for m in PLACEHOLDER.finditer(text):
+                if _NUMBERED.fullmatch(m.group()):
+                    before, after = text[: m.start()].split(), text[m.end() :].split()
+                    around = " ".join([*before[-2:], "{}", *after[:2]])
+                    numbers.append((_SHAPE[1].sub("#", around.lower()), m.group()))
+                else:
+                    named = True
+    size = sum(map(weight, texts))
+    few = size < SHORT
+    return [named, False, any(len(t) >= 40 and is_filler(t) for t in texts), few and any(STUB.fullmatch(t) for t in texts), few and any(PHRASES.search(t) for t in texts)], numbers
+
+
+def numbered(pages: list[list[tuple[str, str]]]) -> list[bool]:
+    """Whether a page's numbers in braces are unfilled: a number that varies between the same words is filled in."""
+    seen: dict[str, set[str]] = defaultdict(set)
+    for numbers in pages:
+        for around, number in numbers:
+            seen[around].add(number)
+    return [any(len(seen[around]) < 3 for around, _ in numbers) for numbers in pages]
+
+
+def agreed(flag: np.ndarray, known: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """The probability of each page to be a failure.
+
+    Each rule that votes halves the doubt twice and more (DOUBT); pages without a vote start at UNSEEN. The response status
+    then counts by its own rates, which are estimated: how often it reports pages with and without votes.
+    """
+    odds = np.where(said.any(axis=1), (1 - DOUBT) / DOUBT * 3.0 ** np.maximum(0, said.sum(axis=1) - 1), UNSEEN / (1 - UNSEEN))
+    some = said.any(axis=1)
+    yes, no = ((flag & known & s).sum() + 0.5 for s in (some, ~some))
+    yes, no = yes / ((known & some).sum() + 1.0), no / ((known & ~some).sum() + 1.0)
+    reported = max(1.0, yes / no)
+    silent = min(1.0, (1 - yes) / (1 - no))
+    odds = odds * np.where(known, np.where(flag, reported, silent), 1.0)
+    return odds / (1 + odds)
 
 
 class Logistic:
-    """Logistic regression with an L2 penalty on sparse rows of 0/1 features, by accelerated gradient steps."""
+    """Logistic regression with an L2 penalty on sparse rows of 0/1 features, by gradient steps of adaptive size for each weight."""
 
-    def __init__(self, penalty: float = PENALTY, steps: int = 300) -> None:
+    def __init__(self, penalty: float = PENALTY, steps: int = 150) -> None:
         self.penalty, self.steps = penalty, steps
         self.weights = np.zeros(DIMENSIONS, np.float32)
         self.bias = 0.0
 
     def fit(self, rows: list, labels: np.ndarray) -> Logistic:
-        """Both classes weigh alike. Without rows of both classes the model says no to everything."""
+        """Labels are probabilities. Both classes weigh alike. Without rows of both classes the model says no to everything."""
         positive = float(labels.sum())
-        if not 0 < positive < len(labels):
+        if not len(labels) or labels.max() < 0.5 or labels.min() >= 0.5:
             self.bias = -20.0
             return self
         flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
+        used, flat = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        scale = np.where(labels > 0, 0.5 / positive, 0.5 / (len(labels) - positive))
-        w, ahead, bias, bias_ahead = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0
-        most = max(len(r) for r in rows) + 1
-        step = 4.0 / most
+        value = np.where(used < DIMENSIONS // 2, 1.0, SOFT)
+        scale = labels * 0.5 / positive + (1 - labels) * 0.5 / (len(labels) - positive)
+        w, first, second = (np.zeros(len(used) + 1) for _ in range(3))
         for t in range(1, self.steps + 1):
-            z = np.bincount(owner, ahead[flat], len(rows)) + bias_ahead
+            z = np.bincount(owner, (w[:-1] * value)[flat], len(rows)) + w[-1]
             off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * scale
-            new = ahead - step * (np.bincount(flat, off[owner], DIMENSIONS) + self.penalty * ahead)
-            new_bias = bias_ahead - step * off.sum()
-            pull = (t - 1) / (t + 2)
-            ahead, bias_ahead = new + pull * (new - w), new_bias + pull * (new_bias - bias)
-            w, bias = new, new_bias
-        self.weights, self.bias = w.astype(np.float32), float(bias)
+            slope = np.append(np.bincount(flat, off[owner], len(used)) * value + self.penalty * w[:-1], off.sum())
+            first = 0.9 * first + 0.1 * slope
+            second = 0.99 * second + 0.01 * slope**2
+            w -= RATE * (1 - t / (self.steps + 1)) * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+        self.weights[used] = w[:-1] * value
+        self.bias = float(w[-1])
         return self
 
     def score(self, slots: list[int]) -> float:
@@ -194,69 +221,95 @@ class Logistic:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def weak_label(flag: bool | None, holes: int, hit: bool) -> int | None:
-    """1, 0, or None where the sources disagree: a failing status without phrase or placeholder labels nothing."""
-    if holes or hit:
-        return 1
-    return None if flag else 0
+_COLUMNS = ["page_id", "site", "title", "notice", "plain", "lines", "meta", "keys", "leads", "marks"]
+
+
+def _own_pages(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, str, list[str]]]:
+    """(raw_id, site, title, own texts) of a batch of _COLUMNS, a slice at a time, so that no more is in Python's objects."""
+    for lo in range(0, batch.num_rows, 256):
+        part = batch.slice(lo, 256)
+        for raw_id, host, title, notice, plain, *record in zip(*(part.column(i).to_pylist() for i in range(10))):
+            yield raw_id, host, title or "", own_texts(page_of(*record), plain, notice or "")
+
+
+def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.string())), pa.bool_())
+    for batch in batches:
+        flags = batch.column(10).to_pylist()
+        rows = []
+        for (raw_id, host, title, texts), flag in zip(_own_pages(batch), flags):
+            said, numbers = votes(texts)
+            rows.append((raw_id, host, flag, describe(title, texts), said, [list(n) for n in numbers], any(_ODD.search(t) for t in texts)))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["raw_id", "site", "flag", "slots", "said", "numbers", "odd"])
 
 
 class FailurePages:
     """The classifier and its verdicts on all pages of `raw`.
 
-    Blank payloads are no pages. `flags` may repeat or lack rows; its clear_failure_union is the response
-    status. sample: the rows that the model was fitted and validated on, at most SAMPLE of them about.
+    Blank payloads and rows without raw_id are no pages. `flags` may repeat or lack rows; its clear_failure_union is
+    the response status. The fit sees pages drawn by the hash of their id: `sample` of all about, and ODD of those with
+    signs that placeholders are made of, which are few.
     """
 
     def __init__(self, spark: SparkSession, raw: DataFrame, flags: DataFrame, sample: int = SAMPLE) -> None:
         keep = Scratch(spark, "failures")
         pages = keep.put(page_lines(raw))
-        evidence = keep.put(line_evidence(pages))
-        wanted = ["page_id", "site", "title", "notice", "bare", "heads", "facts", "texts", "blocks", "linked", "code", "plain", "keys"]
-        self.rows = with_evidence(pages, evidence).select(*wanted)
-        total = pages.count()
-        slice_ = 1_000_000
-        part = max(1, min(slice_, int(slice_ * sample / max(1, total))))
+        self.rows = with_marks(pages, *_COLUMNS[1:5]).select(*_COLUMNS)
+        odd = F.col("lines").rlike(_ODD.pattern)
+        total, odds = pages.agg(F.count(F.lit(1)), F.count_if(odd)).collect()[0]
+        whole = 1_000_000
+        part = lambda most, n: max(1, min(whole, int(whole * most / max(1, n))))
+        drawn = F.pmod(F.xxhash64(F.lit("sample"), "page_id"), F.lit(whole))
+        some = (drawn < part(sample, total)) | odd & (drawn < part(ODD, odds))
         status = flags.groupBy("raw_id").agg(F.max("clear_failure_union").alias("flag"))
-        drawn = self.rows.where(F.pmod(F.xxhash64(F.lit("sample"), "page_id"), F.lit(slice_)) < part).join(status, F.col("page_id") == F.col("raw_id"), "left").drop("raw_id")
-        ddl = "raw_id BIGINT, site STRING, flag BOOLEAN, slots ARRAY<INT>, holes INT, hit BOOLEAN"
-        found = drawn.mapInArrow(_sample_batches, ddl).toPandas()
-        labels = [weak_label(f if isinstance(f, (bool, np.bool_)) else None, h, k) for f, h, k in zip(found["flag"], found["holes"], found["hit"])]
-        held = found["site"].map(lambda s: zlib.crc32(b"held " + str(s).encode()) % 5 == 0).to_numpy(bool)
-        use = np.array([y is not None for y in labels], bool)
-        y = np.array([y or 0 for y in labels], float)
-        rows = list(found["slots"])
-        pick = lambda mask: ([rows[i] for i in np.flatnonzero(mask)], y[mask])
-        self.validation = self._validate(Logistic().fit(*pick(use & ~held)), *pick(use & held), int(found["site"][held].nunique()))
-        self.model = Logistic().fit(*pick(use))
+        # The whole site's evidence speaks of the drawn pages, as of all.
+        seen = self.rows.where(some).join(status, F.col("page_id") == F.col("raw_id"), "left").select(*_COLUMNS, "flag")
+        ddl = "raw_id BIGINT, site STRING, flag BOOLEAN, slots ARRAY<INT>, said ARRAY<BOOLEAN>, numbers ARRAY<ARRAY<STRING>>, odd BOOLEAN"
+        found = seen.mapInArrow(_sample_batches, ddl).toArrow()
+        column = {n: found.column(n).to_pylist() for n in found.column_names}
+        order = sorted(range(len(column["raw_id"])), key=lambda i: zlib.crc32(str(column["raw_id"][i]).encode()))
+        column = {n: [c[i] for i in order] for n, c in column.items()}
+        said = np.array(column["said"], bool).reshape(-1, len(VOTERS))
+        said[:, 1] = numbered([[tuple(n) for n in page] for page in column["numbers"]])
+        flag = np.array([f is True for f in column["flag"]], bool)
+        known = np.array([f is not None for f in column["flag"]], bool)
+        labels = agreed(flag, known, said)
+        quiet = ~(said.any(axis=1) | np.array(column["odd"], bool))
+        fit = ~quiet | (np.cumsum(quiet) <= QUIET)
+        held = np.array([zlib.crc32(b"held " + str(s).encode()) % 5 == 0 for s in column["site"]], bool)
+        rows = column["slots"]
+        pick = lambda mask: ([rows[i] for i in np.flatnonzero(mask)], labels[mask])
+        self._unseen = lambda: self._validate(Logistic().fit(*pick(fit & ~held)), *pick(held), len({s for s, h in zip(column["site"], held) if h}))
+        self.model = Logistic().fit(*pick(fit))
+
+    @property
+    def validation(self) -> dict[str, float]:
+        """How a fit without a fifth of the sites does on their pages, against the labels that the voters agree on."""
+        return self._unseen()
 
     @staticmethod
     def _validate(model: Logistic, rows: list, labels: np.ndarray, sites: int) -> dict[str, float]:
-        scores = np.array([model.score(r) for r in rows])
-        said = scores >= THRESHOLD
-        right = float((said & (labels > 0)).sum())
+        said = np.array([model.score(r) for r in rows]) >= THRESHOLD
+        true = labels >= 0.5
+        right = float((said & true).sum())
         return {
-            "sites": float(sites), "pages": float(len(labels)), "failures": float(labels.sum()),
-            "precision": right / said.sum() if said.any() else 1.0, "recall": right / labels.sum() if labels.any() else 1.0,
+            "sites": float(sites), "pages": float(len(labels)), "failures": float(true.sum()),
+            "precision": right / said.sum() if said.any() else 1.0, "recall": right / true.sum() if true.any() else 1.0,
         }
 
     def scored(self) -> DataFrame:
-        """(raw_id, score, failed) of every page. A page with prose fails only for a placeholder: the exact check behind the model."""
-        weights, bias = self.model.weights, self.model.bias
+        """(raw_id, score, failed) of every page; the model's score alone decides."""
+        used = np.flatnonzero(self.model.weights)
+        weights, bias = (used, self.model.weights[used]), self.model.bias
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            facts = SiteFacts()
             model = Logistic()
-            model.weights, model.bias = weights, bias
-            full = {_slot(f"size f {n}") for n in range(13)}
+            model.weights[weights[0]], model.bias = weights[1], bias
             for batch in batches:
-                ids, scores, failed = [], [], []
-                for raw_id, _, _, slots, holes, _ in _pages_out(batch, facts):
-                    score = model.score(slots)
-                    prose = not full.isdisjoint(slots)
-                    ids.append(raw_id)
-                    scores.append(score)
-                    failed.append(score >= THRESHOLD and (holes > 0 or not prose))
+                pages = [(raw_id, model.score(describe(title, texts))) for raw_id, _, title, texts in _own_pages(batch)]
+                ids, scores = zip(*pages) if pages else ([], [])
+                failed = [s >= THRESHOLD for s in scores]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(failed, pa.bool_())], names=["raw_id", "score", "failed"])
 
-        return self.rows.withColumn("flag", F.lit(None).cast("boolean")).mapInArrow(run, "raw_id BIGINT, score DOUBLE, failed BOOLEAN")
+        return self.rows.mapInArrow(run, "raw_id BIGINT, score DOUBLE, failed BOOLEAN")

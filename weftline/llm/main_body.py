@@ -80,9 +80,10 @@ def region_values(page: Page, weights: list[float]) -> list[float]:
 
 
 def body_flags(page: Page) -> list[bool]:
-    """For each line of a page, whether it is body. A page without any text in its own right has no body."""
-    values = region_values(page, line_weights(page))
-    if not any(values):
+    """For each line of a page, whether it is body. A page without a line that counts in full has no body."""
+    weights = line_weights(page)
+    values = region_values(page, weights)
+    if not any(v for v, w in zip(values, weights) if w == 1.0):
         return [False] * len(values)
     edge = max(LOW * split_point(values), 1e-9)
     return [v >= edge for v in values]
