@@ -221,23 +221,31 @@ class Logistic:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-_COLUMNS = ["page_id", "site", "title", "notice", "plain", "lines", "meta", "keys", "leads", "marks"]
+_OWN = pa.schema([("raw_id", pa.int64()), ("site", pa.string()), ("title", pa.string()), ("text", pa.string())])
 
 
-def _own_pages(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, str, list[str]]]:
-    """(raw_id, site, title, own texts) of a batch of _COLUMNS, a slice at a time, so that no more is in Python's objects."""
-    for lo in range(0, batch.num_rows, 256):
-        part = batch.slice(lo, 256)
-        for raw_id, host, title, notice, plain, *record in zip(*(part.column(i).to_pylist() for i in range(10))):
-            yield raw_id, host, title or "", own_texts(page_of(*record), plain, notice or "")
+def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(raw_id, site, title, text) of pages, a slice at a time, so that no more is in Python's objects; text is null where a page has none of its own."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            rows = []
+            for raw_id, host, title, notice, plain, *record in zip(*(part.column(i).to_pylist() for i in range(10))):
+                texts = own_texts(page_of(*record), plain, notice or "")
+                rows.append((raw_id, host, title or "", "\n".join(texts) if texts else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OWN)], schema=_OWN)
+
+
+def _texts(text: str | None) -> list[str]:
+    return [] if text is None else text.split("\n")
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.string())), pa.bool_())
     for batch in batches:
-        flags = batch.column(10).to_pylist()
         rows = []
-        for (raw_id, host, title, texts), flag in zip(_own_pages(batch), flags):
+        for raw_id, host, title, text, flag in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            texts = _texts(text)
             said, numbers = votes(texts)
             rows.append((raw_id, host, flag, describe(title, texts), said, [list(n) for n in numbers], any(_ODD.search(t) for t in texts)))
         columns = list(zip(*rows)) if rows else [[]] * 7
@@ -255,16 +263,17 @@ class FailurePages:
     def __init__(self, spark: SparkSession, raw: DataFrame, flags: DataFrame, sample: int = SAMPLE) -> None:
         keep = Scratch(spark, "failures")
         pages = keep.put(page_lines(raw))
-        self.rows = with_marks(pages, *_COLUMNS[1:5]).select(*_COLUMNS)
-        odd = F.col("lines").rlike(_ODD.pattern)
-        total, odds = pages.agg(F.count(F.lit(1)), F.count_if(odd)).collect()[0]
+        columns = ("page_id", "site", "title", "notice", "plain", "lines", "meta", "keys", "leads", "marks")
+        self.rows = keep.put(with_marks(pages, *columns[1:5]).select(*columns).mapInArrow(_own_batches, "raw_id BIGINT, site STRING, title STRING, text STRING"))
+        keep.drop(pages)
+        odd = F.coalesce(F.col("text").rlike(_ODD.pattern), F.lit(False))
+        total, odds = self.rows.agg(F.count(F.lit(1)), F.count_if(odd)).collect()[0]
         whole = 1_000_000
         part = lambda most, n: max(1, min(whole, int(whole * most / max(1, n))))
-        drawn = F.pmod(F.xxhash64(F.lit("sample"), "page_id"), F.lit(whole))
+        drawn = F.pmod(F.xxhash64(F.lit("sample"), "raw_id"), F.lit(whole))
         some = (drawn < part(sample, total)) | odd & (drawn < part(ODD, odds))
         status = flags.groupBy("raw_id").agg(F.max("clear_failure_union").alias("flag"))
-        # The whole site's evidence speaks of the drawn pages, as of all.
-        seen = self.rows.where(some).join(status, F.col("page_id") == F.col("raw_id"), "left").select(*_COLUMNS, "flag")
+        seen = self.rows.where(some).join(status, "raw_id", "left").select("raw_id", "site", "title", "text", "flag")
         ddl = "raw_id BIGINT, site STRING, flag BOOLEAN, slots ARRAY<INT>, said ARRAY<BOOLEAN>, numbers ARRAY<ARRAY<STRING>>, odd BOOLEAN"
         found = seen.mapInArrow(_sample_batches, ddl).toArrow()
         column = {n: found.column(n).to_pylist() for n in found.column_names}
@@ -307,9 +316,8 @@ class FailurePages:
             model = Logistic()
             model.weights[weights[0]], model.bias = weights[1], bias
             for batch in batches:
-                pages = [(raw_id, model.score(describe(title, texts))) for raw_id, _, title, texts in _own_pages(batch)]
-                ids, scores = zip(*pages) if pages else ([], [])
+                scores = [model.score(describe(title, _texts(text))) for title, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 failed = [s >= THRESHOLD for s in scores]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(failed, pa.bool_())], names=["raw_id", "score", "failed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(failed, pa.bool_())], names=["raw_id", "score", "failed"])
 
-        return self.rows.mapInArrow(run, "raw_id BIGINT, score DOUBLE, failed BOOLEAN")
+        return self.rows.select("raw_id", "title", "text").mapInArrow(run, "raw_id BIGINT, score DOUBLE, failed BOOLEAN")
