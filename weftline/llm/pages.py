@@ -104,6 +104,20 @@ def packed(line: Line) -> int:
 
 def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     masker = Masker()
+    known: dict[tuple, tuple[int, int]] = {}  # keys of lines met before, up to a bound
+
+    def keys_of(line: Line, host: str | None) -> tuple[int, int]:
+        at = (line.text, host, line.block in CELLS)
+        found = known.get(at)
+        if found is None:
+            lead = lead_of(line.text)
+            found = form_key(masker.form(line.text, host, line.block)), 0 if lead is None else form_key(lead)
+            if len(line.text) < 100:
+                if len(known) > 100_000:
+                    known.clear()
+                known[at] = found
+        return found
+
     for batch in batches:
         ids, hosts, payloads = (batch.column(k) for k in range(3))
         for lo in range(0, batch.num_rows, 256):
@@ -112,14 +126,14 @@ def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 title, lines, notice, html = payload_lines(payload)
                 headline = next((x.text for x in lines if x.block == "h1"), "") or title or (lines[0].text if lines else "")
                 prose = sum(w for x in lines if not x.code and 2 * x.linked < len(x.text) and (w := weight(x.text)) >= PROSE_LINE)
-                found = [None if x.code else lead_of(x.text) for x in lines]
-                leads = [0 if k is None else form_key(k) for k in found]
+                keys = [keys_of(x, host) for x in lines]
+                leads = [0 if x.code else k for x, (_, k) in zip(lines, keys)]
                 for column, value in zip(
                     rows,
                     (
                         page, host, key_of(payload), html, title, notice, key_of(headline), prose < PROSE_PAGE, "\n".join(x.text for x in lines),
                         "\n".join(x.plain or "" for x in lines) if any(x.plain is not None for x in lines) else None, [packed(x) for x in lines],
-                        [form_key(masker.form(x.text, host, x.block)) for x in lines], leads, [k for k, x in zip(leads, lines) if k and x.block in HEADLINES],
+                        [k for k, _ in keys], leads, [k for k, x in zip(leads, lines) if k and x.block in HEADLINES],
                     ),
                 ):
                     column.append(value)
