@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from weftline.llm.failures import PLACEHOLDER, STUB, FailurePages, Logistic, _slot, describe, is_filler, weak_label
+from weftline.llm.failures import PLACEHOLDER, STUB, FailurePages, Logistic, agreed, describe, is_filler, numbered, shape, votes
 
 
 @pytest.mark.parametrize(
@@ -31,60 +31,90 @@ def test_logistic_separates_and_abstains():
     assert Logistic().fit(rows, np.zeros(400)).score(rows[0]) < 0.01 and Logistic().fit([], np.zeros(0)).score([]) < 0.01
 
 
-def test_weak_labels():
-    assert (weak_label(True, 0, False), weak_label(False, 0, False), weak_label(None, 1, False), weak_label(None, 0, True)) == (None, 0, 1, 1)
+def test_soft_labels():
+    rows = [[1, 5], [2, 5], [1, 6], [2, 6]] * 30
+    m = Logistic().fit(rows, np.array([0.95, 0.02, 0.9, 0.05] * 30))
+    assert m.score([1, 7]) > 0.5 > m.score([2, 7])
 
 
-def test_features_see_code_and_notices():
-    args = lambda t, plain=None, code=False: ("T", "", [t], [0], [code], [plain], [True])
-    assert describe(*args("use {{a}} now"))[1] == 1 and describe(*args("use {{a}} now", "use now"))[1] == 0 and describe(*args("{{a}}", code=True))[1] == 0
-    assert describe("", "Please enable JavaScript to view this page.", [], [], [], [], [])[2]
+def test_voters_agree_to_probabilities():
+    flag = np.array([True, False, True, False] + [False] * 96)
+    said = np.zeros((100, 5), bool)
+    said[:2, 0] = True
+    p = agreed(flag, np.ones(100, bool), said)
+    assert p[0] > p[1] > 0.9 and 0.9 > p[2] > p[3] and p[3] < 0.05
+    assert agreed(flag[:0], flag[:0], said[:0]).shape == (0,)
+
+
+def test_numbers_that_vary_between_the_same_words_are_filled_in():
+    filled = [votes([f"Figures in braces {{{n}}} are estimates"])[1] for n in (3, 88, 17, 9)]
+    open_ = [votes(["about {0} days in {1} towns"])[1]]
+    assert numbered(filled) == [False] * 4 and numbered(open_) == [True] and numbered([[]]) == [False]
+
+
+def test_shapes():
+    assert [shape(t) for t in ("{{First_Name}}.", "{88}", "[Your", "@Model.item.title", "$45")] == ["{{a}}", "{#}", "[a", "@a", "$#"]
+
+
+def test_votes_of_short_and_long_pages():
     long = "A long true sentence about garden tools that goes on and on without any message at all in it, for as long as it takes to be prose."
-    assert not describe("T", "Please enable JavaScript.", [long, long], [0, 0], [False] * 2, [None] * 2, [True] * 2)[2]
+    assert votes(["Page not found"])[0] == [False, False, False, False, True]
+    assert not any(votes(["A visitor who reads page not found", *[long] * 4])[0])
+    assert votes(["null"])[0][3] and votes(["Dear {{name}},"])[0][0] and not any(votes([])[0])
 
 
-def test_pages_on_unseen_sites(spark, make_raw):
-    rng = np.random.default_rng(4)
+def test_describe_reads_whole_texts():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    one, two = describe("", [" ".join(words)]), describe("", [" ".join([*words[:-1], "{{x}}"])])
+    assert set(two) - set(one) and describe("", []) and describe("T", ["T"]) != describe("T", ["U"])
+
+
+def corpus(n=480, seed=4):
+    """Rows of n pages, and the ids of those that fail."""
+    rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("abcdefghijk"), 6))
     prose = lambda: " ".join(word() for _ in range(60)) + "."
     messages = ["Page not found", "Access denied", "Please enable JavaScript to view this page.", "Error 503", "Content coming soon", "Service is down for maintenance until 9:00"]
     rows, bad = [], set()
-    for i in range(240):
-        kind = i % 6
+    for i in range(n):
+        kind, head = i % 6, f"<h1>{word()} {word()}</h1>"
         if kind == 0:
             m = messages[i // 6 % len(messages)]
             rows.append((i, f"s{i % 40}.test", f"<title>{m}</title><h1>{m}</h1>"))
         elif kind == 1:
-            rows.append((i, f"s{i % 40}.test", f"<h1>{word()}</h1><p>{prose()} Dear {{{{first_name}}}}, {prose()}</p>"))
+            rows.append((i, f"s{i % 40}.test", f"{head}<p>{prose()} Dear {{{{first_name}}}}, {prose()}</p>"))
         elif kind == 2:
-            rows.append((i, f"s{i % 40}.test", f"<h1>{word()}</h1><p>A visitor who sees page not found has an old link. {prose()}</p><pre>{{{{x}}}}</pre><noscript>Please enable JavaScript</noscript>"))
+            rows.append((i, f"s{i % 40}.test", f"{head}<p>A visitor who sees page not found has an old link {word()}. {prose()}</p><pre>{{{{x}}}}</pre><noscript>Please enable JavaScript</noscript>"))
+        elif kind == 3:
+            rows.append((i, f"s{i % 40}.test", f"{head}<p>Figures in braces {{{int(rng.integers(100))}}} are estimates [see table 3] and cost $7 more. {prose()}</p>"))
+        elif kind == 4:
+            rows.append((i, f"s{i % 40}.test", f"{head}<p>{prose()} about {{0}} {word()} {{1}} {prose()}</p>" if i % 4 == 0 else f"{head}<p>{prose()}</p>"))
         else:
-            rows.append((i, f"s{i % 40}.test", f"<h1>{word()} {word()}</h1><p>{prose()}</p>" if kind < 5 else f"<p>{word()} {word()} {word()}</p>"))
-        if kind < 2:
+            rows.append((i, f"s{i % 40}.test", f"<p>{word()} {word()} {word()}</p>"))
+        if kind < 2 or kind == 4 and i % 4 == 0:
             bad.add(i)
-    rows += [(900, "a.test", None), (901, "a.test", " "), (902, "a.test", "null"), (903, None, "<div></div><noscript>JavaScript is required</noscript>")]
-    flags = spark.createDataFrame([(i, i % 12 == 0, "x") for i in range(240)] + [(0, True, "x"), (None, None, "x")], "raw_id BIGINT, clear_failure_union BOOLEAN, site STRING")
+    return rows, bad
+
+
+def test_pages_on_unseen_sites(spark, make_raw):
+    rows, bad = corpus()
+    rows += [(900, "a.test", None), (901, "a.test", " "), (902, "a.test", "null"), (903, None, "<div></div><noscript>JavaScript is required, please enable JavaScript</noscript>"), (None, "a.test", "Page not found")]
+    flags = spark.createDataFrame([(i, i in bad and i % 4 == 0, "x") for i in range(480)] + [(0, True, "x"), (None, None, "x")], "raw_id BIGINT, clear_failure_union BOOLEAN, site STRING")
     model = FailurePages(spark, make_raw(rows), flags)
     got = {r.raw_id for r in model.scored().where("failed").collect()}
-    assert got == bad | {902, 903}
+    assert len(got & bad) >= 0.98 * len(bad) and len(got - bad - {902, 903}) <= 0.02 * len(got) and 903 in got
     assert model.validation["recall"] > 0.9 and model.validation["precision"] > 0.9
 
 
+def test_context_decides_on_the_same_braces(spark, make_raw):
+    """A number in braces that an author wrote passes, the same sign as residue fails, on sites the fit hasn't seen."""
+    rows, _ = corpus()
+    model = FailurePages(spark, make_raw(rows), spark.createDataFrame([], "raw_id BIGINT, clear_failure_union BOOLEAN")).model
+    prose = "The harbour opens at six and the boats leave with the tide, which the keepers note in a book that lies on the long table by the door. " * 4
+    assert model.score(describe("", ["Quiet harbour", f"Figures in braces {{1}} are estimates [see table 9] and cost $4 more. {prose}"])) < 0.5
+    assert model.score(describe("", ["Quiet harbour", f"{prose} about {{0}} noon {{1}} {prose}"])) > 0.5
+
+
 def test_no_pages(spark, make_raw):
     flags = spark.createDataFrame([], "raw_id BIGINT, clear_failure_union BOOLEAN")
     assert FailurePages(spark, make_raw([]), flags).scored().isEmpty()
-
-
-def test_long_notices_in_place_of_content():
-    """A notice of one longer paragraph is the page's message, unless prose stands beside it."""
-    notice = (
-        "Access to this page has been denied because we believe you are using automation tools to browse the website. This may"
-        " happen when cookies are switched off in your browser, or when an extension keeps parts of the page from loading as they should."
-    )
-    prose = "The harbour opens at six and the boats leave with the tide, which the keepers note in a book that lies on the long table by the door for all to read through the whole of the season."
-    assert 200 < len(notice) < 400
-    full = {_slot(f"size f {n}") for n in range(13)}
-    for texts, want in (([notice], True), ([notice, notice], True), ([notice, prose], False), ([prose], False)):
-        n = len(texts)
-        slots, _, hit = describe("", "", texts, [0] * n, [False] * n, [None] * n, [True] * n)
-        assert hit == want and full.isdisjoint(slots) == want

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import main_body, mixing, packing, repeated_lines, split_queries
@@ -31,29 +33,24 @@ def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "measure STRING, value DOUBLE")
 
 
-def _repeated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _repeated(spark: SparkSession, folder: str, variant: Callable[[Column], Column] | None = None) -> repeated_lines.RepeatedLines:
     pages = repeated_lines.numbered_pages(spark, table(spark, folder, "raw"))
-    return pages, repeated_lines.repeated_lines(spark, pages, int(setting(spark, folder, "line_min_pages")), setting(spark, folder, "line_min_share"))
+    return repeated_lines.RepeatedLines(spark, pages, int(setting(spark, folder, "line_min_pages")), setting(spark, folder, "line_min_share"), variant)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines repeated across a site's pages."""
-    return repeated_lines.repeated_texts(*_repeated(spark, folder)).select("site", "line")
+    return _repeated(spark, folder).texts().select("site", "line")
 
 
 def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Each HTML page without its site's repeated lines."""
-    pages, found = _repeated(spark, folder)
-    bitmaps = repeated_lines.line_bitmaps(pages, int(setting(spark, folder, "line_min_pages")))
-    return repeated_lines.without_repeated(pages, bitmaps, found)
+    return _repeated(spark, folder).stripped()
 
 
 def p2_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Lines whose variants in case and digits are repeated together."""
-    pages = repeated_lines.numbered_pages(spark, table(spark, folder, "raw"))
-    masked = lambda line: F.regexp_replace(F.lower(line), r"\d+", "#")
-    found = repeated_lines.repeated_lines(spark, pages, int(setting(spark, folder, "line_min_pages")), setting(spark, folder, "line_min_share"), masked)
-    return repeated_lines.repeated_texts(pages, found)
+    return _repeated(spark, folder, lambda line: F.regexp_replace(F.lower(line), r"\d+", "#")).texts()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,58 +92,74 @@ def numbered_pages(spark: SparkSession, raw: DataFrame) -> DataFrame:
     return keep.put(pages.join(numbers, ["site", "payload"]))
 
 
-def line_bitmaps(pages: DataFrame, least: int, variant: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(site, variant, key, bucket, bits, size): containers of the lines whose variants stand on at least `least` pages together.
+class RepeatedLines:
+    """Lines whose variants stand on at least `least` and `share` of their site's distinct payloads, by exact cardinality.
 
-    key is the hash of a line, variant that of `variant(line)` (the line itself by default).
+    pages is what `numbered_pages` gives; a variant is that of `variant(line)`, the line itself by default. containers:
+    (site, variant, key, bucket, bits, size) of every line, key its hash, written once. found: (site, variant, key, pages, total).
+    Lines without a page, and sites without a line, are in neither.
     """
-    each = pages.dropDuplicates(["site", "payload"]).select("site", "number", F.explode("lines").alias("line"))
-    form = variant(F.col("line")) if variant else F.col("line")
-    postings = each.select(
-        "site", F.xxhash64(form).alias("variant"), F.xxhash64("line").alias("key"),
-        F.floor(F.col("number") / SPAN).cast("int").alias("bucket"), F.pmod("number", F.lit(SPAN)).cast("int").alias("place"),
-    )
-    containers = postings.groupBy("site", "variant", "key", "bucket").agg(F.collect_list("place").alias("places"))
-    containers = containers.withColumn("size", F.size("places"))
-    # Only variants with enough pages go to the bitmaps; a sum of cardinalities is never below that of the union.
-    enough = containers.groupBy("site", "variant").agg(F.sum("size").alias("sum")).where(F.col("sum") >= least).select("site", "variant")
-    return containers.join(enough, ["site", "variant"], "left_semi").select("site", "variant", "key", "bucket", _pack("places").alias("bits"), "size")
-
-
-def repeated_lines(spark: SparkSession, pages: DataFrame, least: int, share: float, variant: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(site, variant, key, pages, total): lines whose variants stand on at least `least` and `share` of the site's distinct payloads."""
-    keep = Scratch(spark, "bitmaps")
-    maps = keep.put(line_bitmaps(pages, least, variant))
-    united = maps.groupBy("site", "variant", "bucket").agg(F.collect_list("bits").alias("parts")).select("site", "variant", _cardinality(_unite("parts")).alias("count"))
-    counts = united.groupBy("site", "variant").agg(F.sum("count").alias("pages"))
-    totals = pages.groupBy("site").agg(F.countDistinct("payload").alias("total"))
-    over = counts.join(totals, "site").where((F.col("pages") >= least) & (F.col("pages") >= share * F.col("total")))
-    return keep.put(maps.select("site", "variant", "key").distinct().join(over, ["site", "variant"]))
-
-
-def repeated_texts(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(site, line, pages, total) for the keys of `repeated`."""
-    by_site = repeated.groupBy("site").agg(F.collect_set("key").alias("keys"))  # bounded: such a line has a share of the site's lines
-    found = pages.join(by_site, "site").select("site", F.explode(F.filter("lines", lambda x: F.array_contains(F.col("keys"), F.xxhash64(x)))).alias("line")).distinct()
-    return found.withColumn("key", F.xxhash64("line")).join(repeated, ["site", "key"]).select("site", "line", "pages", "total")
-
-
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            maps = {(m["key"], m["bucket"]): m["bits"] for m in row["maps"] or ()}
-            bucket, place = divmod(row["number"], SPAN)
-            kept = [t for t, k in zip(row["lines"], row["keys"]) if (k, bucket) not in maps or not contains(maps[k, bucket], place)]
-            out.append((row["page_id"], row["site"], "\n".join(kept), len(row["lines"]) - len(kept)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int32()))],
-            names=["raw_id", "site", "text", "removed"],
-        )
-
-
-def without_repeated(pages: DataFrame, bitmaps: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(raw_id, site, text, removed): each page's distinct lines without those whose bitmap has the page's number."""
-    maps = bitmaps.join(repeated.select("site", "key"), ["site", "key"], "left_semi").groupBy("site").agg(F.collect_list(F.struct("key", "bucket", "bits")).alias("maps"))
-    rows = pages.join(maps, "site", "left").select("page_id", "site", "number", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("keys"), "maps")
-    return rows.mapInArrow(_strip, "raw_id BIGINT, site STRING, text STRING, removed INT")
+
+    def __init__(self, spark: SparkSession, pages: DataFrame, least: int, share: float, variant: Callable[[Column], Column] | None = None, span: int = SPAN) -> None:
+        keep = Scratch(spark, "bitmaps")
+        self.pages, self.span = pages, span
+        each = pages.dropDuplicates(["site", "payload"]).select("site", "number", F.explode("lines").alias("line"))
+        form = variant(F.col("line")) if variant else F.col("line")
+        postings = each.select(
+            "site", F.xxhash64(form).alias("variant"), F.xxhash64("line").alias("key"),
+            F.floor(F.col("number") / span).cast("int").alias("bucket"), F.pmod("number", F.lit(span)).cast("int").alias("place"),
+        )
+        lists = postings.groupBy("site", "variant", "key", "bucket").agg(F.collect_list("place").alias("places"))
+        self.containers = keep.put(lists.select("site", "variant", "key", "bucket", _pack("places").alias("bits"), F.size("places").alias("size")))
+        # A sum of cardinalities is never below that of the union: only variants with enough pages are united.
+        enough = self.containers.groupBy("site", "variant").agg(F.sum("size").alias("sum")).where(F.col("sum") >= least).select("site", "variant")
+        maps = self.containers.join(enough, ["site", "variant"], "left_semi")
+        united = maps.groupBy("site", "variant", "bucket").agg(F.collect_list("bits").alias("parts")).select("site", "variant", _cardinality(_unite("parts")).alias("count"))
+        counts = united.groupBy("site", "variant").agg(F.sum("count").alias("pages"))
+        totals = pages.groupBy("site").agg(F.countDistinct("payload").alias("total"))
+        over = counts.join(totals, "site").where((F.col("pages") >= least) & (F.col("pages") >= share * F.col("total")))
+        self.found = keep.put(self.containers.select("site", "variant", "key").join(over, ["site", "variant"]).distinct())
+
+    def texts(self) -> DataFrame:
+        """(site, line, pages, total) of the lines found."""
+        by_site = self.found.groupBy("site").agg(F.collect_set("key").alias("keys"))  # bounded: such a line has a share of the site's lines
+        hit = F.filter("lines", lambda x: F.array_contains(F.col("keys"), F.xxhash64(x)))
+        return self.pages.join(by_site, "site").select("site", F.explode(hit).alias("line")).distinct().withColumn("key", F.xxhash64("line")).join(self.found, ["site", "key"]).select("site", "line", "pages", "total")
+
+    def stripped(self) -> DataFrame:
+        """(raw_id, site, text, removed): each page's distinct lines without those whose bitmap has the page's number.
+
+        A container and the pages of its range meet in one task, bitmaps first; no page carries bitmaps, and a site
+        of many pages has many ranges.
+        """
+        maps = self.containers.join(self.found.select("site", "key"), ["site", "key"], "left_semi")
+        none = lambda kind: F.lit(None).cast(kind)
+        maps = maps.select("site", "bucket", F.lit(False).alias("page"), "key", "bits", none("bigint").alias("page_id"), none("bigint").alias("number"), none("array<string>").alias("lines"), none("array<bigint>").alias("keys"))
+        rows = self.pages.select(
+            "site", F.floor(F.col("number") / self.span).cast("int").alias("bucket"), F.lit(True).alias("page"), none("bigint").alias("key"), none("binary").alias("bits"),
+            "page_id", "number", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("keys"),
+        )
+        met = maps.unionAll(rows).repartition("site", "bucket").sortWithinPartitions("site", "bucket", "page")
+        return met.mapInArrow(_strip(self.span), "raw_id BIGINT, site STRING, text STRING, removed INT")
+
+
+def _strip(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, maps = None, {}
+        for batch in batches:
+            out = []
+            for site, bucket, page, key, bits, page_id, number, lines, keys in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if (site, bucket) != at:
+                    at, maps = (site, bucket), {}
+                if not page:
+                    maps[key] = bits
+                    continue
+                place = number % span
+                kept = [t for t, k in zip(lines, keys) if k not in maps or not contains(maps[k], place)]
+                out.append((page_id, site, "\n".join(kept), len(lines) - len(kept)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int32()))],
+                names=["raw_id", "site", "text", "removed"],
+            )
+
+    return run
