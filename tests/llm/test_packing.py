@@ -46,6 +46,16 @@ def test_equal_to_the_definition():
         assert sorted(20 - u for u in used.values()) == sorted(greedy(sizes, 20))
 
 
+def test_no_task_gets_all_that_cannot_be_filled(spark):
+    items = spark.range(4000).selectExpr("id AS doc_id", "0 AS piece", "1100 AS tokens")
+    packed = packing.pack_items(spark, items, 2048, per_packer=250)
+    assert packed.count() == 4000 == packed.select("bin_id").distinct().count()
+    assert packed.selectExpr("bin_id >> 36 AS packer").groupBy("packer").count().agg(F.max("count"), F.count("*")).collect()[0][0] < 350
+    # One small item opens all of them once; it doesn't bring them to one packer.
+    packed = packing.pack_items(spark, items.unionAll(spark.createDataFrame([(9000, 0, 10)], "doc_id BIGINT, piece INT, tokens INT")), 2048, per_packer=250)
+    assert packed.count() == 4001 and packed.selectExpr("bin_id >> 36 AS packer").groupBy("packer").count().agg(F.max("count")).collect()[0][0] < 350
+
+
 def test_packing_keeps_every_item(spark):
     rng = random.Random(3)
     items = spark.createDataFrame([(i, 0, rng.randint(1, 100), "x") for i in range(3000)] + [(5, 0, 40, "x")], "doc_id BIGINT, piece INT, tokens INT, bin_id STRING")

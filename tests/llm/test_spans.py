@@ -54,6 +54,15 @@ def test_coverage_and_spans(spark):
         assert a[r.a_from : r.a_to] == b[r.b_from : r.b_to] and r.equal >= 40
 
 
+def test_a_stretch_in_many_texts_is_aligned_once_for_each(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, n = text(90), 300
+    s = SharedSpans(spark, spark.createDataFrame([(i, text(30) + hot + text(25)) for i in range(n)], "doc_id BIGINT, text STRING"), 40)
+    assert s.spans.select("a", "b").distinct().count() < 10 * n and s.pairs().count() == n * (n - 1) // 2
+    assert s.coverage().where("shared >= 90").count() == n
+
+
 def test_nothing(spark):
     s = SharedSpans(spark, spark.createDataFrame([], "doc_id BIGINT, text STRING"), 200)
     assert s.pairs().isEmpty() and s.coverage().isEmpty()

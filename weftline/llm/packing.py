@@ -2,8 +2,8 @@
 
 Each item goes where the sum of the squared counts of open containers for each residual gap becomes
 smallest. Items are spread over packers by hash; each packs its stream with what is open in memory and
-nothing else. The items of containers that are left loosely filled are packed again by fewer packers, until
-one is left.
+nothing else. The items of containers that are left loosely filled are packed again, in rounds of as many
+packers as they need.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from weftline.llm.tokens import VOCABULARY, filled, with_tokens
 from weftline.session import Scratch
 
 PER_PACKER = 50_000  # items a packer should get
-MERGE = 16  # packers of one round whose loose containers' items go to one packer of the next
+FEWER = 0.8  # of a round's items, at most, may go on to the next
 LOOSE = 0.02  # share of the capacity that may stay unused in a container that isn't packed again
 
 
@@ -86,26 +86,31 @@ def token_items(documents: DataFrame, capacity: int, path: str = VOCABULARY) ->
 def pack_items(spark: SparkSession, items: DataFrame, capacity: int, per_packer: int = PER_PACKER) -> DataFrame:
     """(doc_id, piece, tokens, bin_id) of `items` (doc_id, piece, tokens); no bin exceeds the capacity and no item is divided.
 
-    An empty table gives an empty one. Repeated rows are items of their own.
+    Each round packs again what stands in containers that one of these items could still go into, in a new
+    mixture, by as many packers as `per_packer` items each need; rounds end when one packer had them all, or when the
+    loose items don't become fewer. An empty table gives an empty one. Repeated rows are items of their own.
     """
     keep = Scratch(spark, "packing")
-    items = keep.put(items.select("doc_id", "piece", "tokens"))
-    total = items.count()
-    packers = max(1, -(-total // per_packer))
-    spread = F.xxhash64("doc_id", "piece")
-
-    def one_round(todo: DataFrame, packers: int, round_: int) -> DataFrame:
-        placed = todo.withColumn("way", F.pmod(spread, F.lit(packers))).repartition(packers, "way").sortWithinPartitions(spread).select("doc_id", "piece", "tokens")
-        return keep.put(placed.mapInArrow(_packer(capacity, round_), "doc_id BIGINT, piece INT, tokens INT, bin_id BIGINT"))
-
-    packed = one_round(items, packers, 0)
-    round_ = 0
-    while packers > 1:
-        packers, round_ = -(-packers // MERGE), round_ + 1
-        used = packed.groupBy("bin_id").agg(F.sum("tokens").alias("used"))
-        loose = used.where(F.col("used") < (1 - LOOSE) * capacity).select("bin_id")
-        again = one_round(packed.join(loose, "bin_id", "left_semi"), packers, round_)
-        packed = keep.put(packed.join(loose, "bin_id", "left_anti").select(again.columns).unionAll(again))
+    todo = keep.put(items.select("doc_id", "piece", "tokens"))
+    left, round_, done = todo.count(), 0, []
+    while True:
+        packers = max(1, -(-left // per_packer))
+        way = F.xxhash64(F.lit(round_), "doc_id", "piece")
+        placed = todo.withColumn("way", F.pmod(way, F.lit(packers)).cast("int")).repartitionById(packers, "way").sortWithinPartitions(way).select("doc_id", "piece", "tokens")
+        packed = keep.put(placed.mapInArrow(_packer(capacity, round_), "doc_id BIGINT, piece INT, tokens INT, bin_id BIGINT"))
+        if packers == 1:
+            break
+        bins = packed.groupBy("bin_id").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+        loose = keep.put(bins.where(F.col("used") < (1 - LOOSE) * capacity))
+        smallest = packed.join(loose, "bin_id", "left_semi").agg(F.min("tokens")).collect()[0][0]
+        open_ = loose.where(capacity - F.col("used") >= F.lit(smallest if smallest is not None else capacity + 1))
+        more = open_.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+        if more == 0 or more > FEWER * left:
+            break
+        done.append(packed.join(open_, "bin_id", "left_anti").select(packed.columns))
+        todo, left, round_ = packed.join(open_, "bin_id", "left_semi").select("doc_id", "piece", "tokens"), more, round_ + 1
+    for part in done:
+        packed = packed.unionAll(part)
     return packed
 
 

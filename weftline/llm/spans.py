@@ -2,8 +2,8 @@
 
 Exact copies are collapsed first. Each different text gives seeds: the k-mers that are least by hash in
 some window, with window and k so chosen that every stretch of the wanted length has one. Seeds found in
-two texts or more pair those texts; a seed found many times pairs only texts that agree on a whole
-stretch of the wanted length around it, so no pair is made in vain. For each pair the seeds are chained in order
+two texts or more pair those texts; a seed found many times leads to the stretches of the wanted length around it, and
+the texts that have one in common are paired with the first of them, so a stretch in n texts makes n pairs. For each pair the seeds are chained in order
 with gap costs through a Fenwick tree, until every seed is in a chain; chains are aligned, which gives
 exact spans and fuzzy passages.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.hashing import sliding, window_hashes
+from weftline.llm.hashing import mixed, sliding, window_hashes
 from weftline.session import Scratch
 
 SEED = 128  # characters of a seed, at most; a third below the wanted length for short ones
@@ -27,9 +27,13 @@ GAP_COST = 0.05  # of a character in a gap between chained seeds
 GAP_MOST = 400  # characters in a gap beyond which a chain ends
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
 def character_hashes(text: str, k: int) -> np.ndarray:
     """Hash of each k-mer of a text."""
-    return window_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1), k)
+    return window_hashes(codes(text), k)
 
 
 def seeds_of(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +169,9 @@ def _seed_batches(least: int):
 
 
 def _stretch_batches(least: int):
-    """(rep, text, places of hot seeds) to (rep, stretch hash, its start): every stretch of `least` characters around a hot seed, once."""
+    """(rep, text, places of hot seeds) to (rep, stretch hash, a second hash, its start): every stretch of `least` characters around a hot seed, once."""
     k = seed_length(least)
+    names = ["rep", "seed", "check", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +183,8 @@ def _stretch_batches(least: int):
                     inside[min(p + 1, len(hashes))] -= 1
                 at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
                 found, first = np.unique(hashes[at], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep), pa.int64()), pa.array(found, pa.int64()), pa.array(at[first], pa.int32())], names=["rep", "seed", "place"])
+                second = window_hashes(mixed(codes(text)), least).view(np.int64)[at[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep), pa.int64()), pa.array(found, pa.int64()), pa.array(second, pa.int64()), pa.array(at[first], pa.int32())], names=names)
 
     return run
 
@@ -206,7 +212,9 @@ class SharedSpans:
 
     members: (rep, doc_id, size), the documents of each different text of at least that length; null and
     shorter texts have none. spans: (a, b, kind, a_from, a_to, b_from, b_to, equal) for pairs of different
-    texts, a < b by their least doc_id, kind exact or passage; exact spans shorter than `least` are left out.
+    texts, a < b by their least doc_id, kind exact or passage; exact spans shorter than `least` are left out. A
+    stretch that stands in many texts is given for each of them and the first. classes: (class, rep), the texts
+    that have such a stretch in common.
     """
 
     def __init__(self, spark: SparkSession, documents: DataFrame, least: int) -> None:
@@ -223,17 +231,30 @@ class SharedSpans:
         shared = keep.put(each.join(count, "seed"))
         few = shared.where(F.col("n") <= FEW).select("seed", "rep", "place")
         hot = shared.where(F.col("n") > FEW).groupBy("rep").agg(F.collect_set("place").alias("places")).join(unique, "rep").select("rep", "text", "places")
-        stretches = hot.mapInArrow(_stretch_batches(least), "rep BIGINT, seed BIGINT, place INT")
-        both = few.unionAll(stretches.select("seed", "rep", "place"))
-        left, right = both.selectExpr("seed", "rep AS a", "place AS x"), both.selectExpr("seed", "rep AS b", "place AS y")
-        hits = left.join(right, "seed").where("a < b").groupBy("a", "b").agg(F.collect_set(F.struct("x", "y")).alias("hits"))
+        # Texts with one hot stretch are a class; each is aligned with the class's representative, not with all others.
+        stretches = keep.put(hot.mapInArrow(_stretch_batches(least), "rep BIGINT, seed BIGINT, check BIGINT, place INT"))
+        member = lambda seed: F.xxhash64(F.lit(seed), "rep")
+        classes = stretches.groupBy("seed", "check").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "place")).alias("first"), F.bit_xor(member("one")).alias("one"), F.bit_xor(member("two")).alias("two")
+        )
+        classes = keep.put(classes.where("n > 1"))
+        starred = stretches.join(classes.select("seed", "check", "first"), ["seed", "check"]).where("rep <> first.rep")
+        # Of the stretches that follow each other in both texts one is enough; two spans apart never share a cell.
+        cells = starred.groupBy(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.expr("first.place - place"), F.expr(f"first.place div {least}")).agg(F.min(F.struct(F.col("first.place").alias("x"), F.col("place").alias("y"))).alias("hit"))
+        left, right = few.selectExpr("seed", "rep AS a", "place AS x"), few.selectExpr("seed", "rep AS b", "place AS y")
+        met = left.join(right, "seed").where("a < b").select("a", "b", F.struct("x", "y").alias("hit")).unionAll(cells.select("a", "b", "hit"))
+        hits = met.groupBy("a", "b").agg(F.collect_set("hit").alias("hits"))
         pairs = hits.join(unique.selectExpr("rep AS a", "text AS ta"), "a").join(unique.selectExpr("rep AS b", "text AS tb"), "b")
         aligned = pairs.select("a", "b", "hits", "ta", "tb").mapInArrow(_align_batches(k), _SPAN_DDL).distinct()
         self.spans = keep.put(aligned.where((F.col("kind") == "passage") | (F.col("equal") >= least)))
+        # Classes of the same members are one: a long stretch has many of them.
+        sets = classes.groupBy("one", "two", "n").agg(F.min(F.struct("seed", "check")).alias("at")).select("at.seed", "at.check", F.monotonically_increasing_id().alias("class"))
+        self.classes = keep.put(stretches.join(sets, ["seed", "check"]).select("class", "rep"))
 
     def pairs(self) -> DataFrame:
-        """(doc_id_a, doc_id_b), smaller first: all documents that share a stretch, copies among them."""
-        linked = self.spans.where("kind = 'exact'").select("a", "b").distinct()
+        """(doc_id_a, doc_id_b), smaller first: all documents that share a stretch, copies among them. Classes are expanded only here."""
+        side = lambda name: self.classes.select("class", F.col("rep").alias(name))
+        linked = self.spans.where("kind = 'exact'").select("a", "b").unionAll(side("a").join(side("b"), "class").where("a < b").select("a", "b")).distinct()
         one, two = self.members.selectExpr("rep AS a", "doc_id AS p"), self.members.selectExpr("rep AS b", "doc_id AS q")
         across = linked.join(one, "a").join(two, "b").select("p", "q")
         within = one.join(two, F.col("a") == F.col("b")).where("p < q").select("p", "q")
