@@ -1,9 +1,11 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from weftline.functions import dom
 from weftline.functions.markup import is_html, payload_lines
-from weftline.functions.text import canonical_tokens, read_path, split_bytes
+from weftline.functions.text import normalized_tokens, read_path, split_bytes
 
 
 def lines(payload):
@@ -73,6 +75,23 @@ def test_byte_chunks_lose_nothing(text, ceiling):
     assert all(len(text[a:b].encode()) <= ceiling for a, b in chunks)
 
 
-def test_scalars():
-    assert canonical_tokens("1,200.50 kilometres, 5% of boxes and stories") == ["1200.5", "km", "5", "percent", "of", "box", "and", "story"]
-    assert read_path("https://a.test/blog/my-post.html") == ("blog / my post", "ready", []) and read_path("ftp://x")[1] == "invalid" and read_path(None)[1] == "missing"
+def test_paths():
+    ready = {"https://stride.example/journal/running-shoes?a=secret#x": "journal / running shoes", "https://x.example/a%2Fb/c_d": "a/b / c d", "https://x.example/a+b/%E9%9E%8B": "a+b / 鞋", "https://x.example//12/": "12", "https://a.test/post.html": "post.html"}
+    for href, path in ready.items():
+        assert read_path(href)[:3] == (path, "ready", None)
+    assert read_path("https://x.example/a%2Fb/12")[3] == ["encoded_slash_in_segment", "numeric_segment"] and read_path(f"https://x.example/{'k' * 24}")[3] == ["possibly_opaque_segment"]
+    for bad in ("https://x.example/", "javascript:alert(1)", "https://x.example/%FF", "https://x.example/%G0", "https://x.example/%00", "https://x.example:bad/a", "https://x.example/a b", None, ""):
+        assert read_path(bad)[:2] == ("", "unavailable")
+    assert read_path("https://x.example/%G0")[2] == "invalid_percent_escape" and read_path("https://x.example")[2] == "root_only_path"
+
+
+def test_normal_tokens(spark):
+    cases = {
+        "Shoes policies boxes 1,000.00 kilograms 10% e-mail": ["shoe", "policy", "box", "1000", "kg", "10", "percent", "email"], "news analysis status species": ["news", "analysis", "status", "species"],
+        "centimetres hours dollars": ["cm", "h", "usd"], "10.50": ["10.5"], "1,000,000": ["1000000"], "1,200.50 kilometres, 5% of boxes and stories": ["1200.5", "km", "5", "percent", "of", "box", "and", "story"],
+        "007 0 0.0 $5 €7": ["7", "0", "0", "usd", "5", "eur", "7"], "glasses bus ties gas": ["glass", "bus", "tie", "gas"], "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t STRING").select("t", normalized_tokens(F.col("t")).alias("n"))
+    got = {r.t: r.n for r in df.collect()}
+    assert {k: v for k, v in got.items() if v != cases[k]} == {}
+    assert spark.createDataFrame([(None,)], "t STRING").select(normalized_tokens(F.col("t"))).collect()[0][0] == []

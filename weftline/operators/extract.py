@@ -36,7 +36,7 @@ def read_document(snapshot_id: str, href: str | None, payload: str | None) -> di
     out: dict = {"snapshot_id": snapshot_id, "href": href, "format": "unknown", "method": "conservative_dom", "status": "empty", "inventory": None, "blocks": [], "markdown": ""}
     if not payload or payload.isspace():
         return out
-    if len(payload) > BYTES_MOST:
+    if len(payload) > BYTES_MOST or len(payload) > BYTES_MOST // 4 and len(payload.encode("utf-8", "surrogatepass")) > BYTES_MOST:
         return out | {"status": "unsupported_format"}
     try:
         if is_html(payload):
@@ -122,8 +122,8 @@ def document_units(doc: dict, page_bytes: int = 7000, section_bytes: int = 4096)
     add("title", "title", title or None, [], "no_title")
     heads = [(b["block_id"], "#" * (b["heading_level"] or 1) + " " + b["text"]) for b in blocks if b["block_type"] == "heading"]
     text_units("outline", "outline", heads, section_bytes)
-    path, status, _ = read_path(doc["href"])
-    add("path", "path", path, [], status)
+    path, _, reason, _ = read_path(doc["href"])
+    add("path", "path", path or None, [], reason)
     text_units("page", "page", [(b["block_id"], b["text"]) for b in blocks], page_bytes)
     stack: list[dict] = []
     section: list[dict] = []

@@ -77,7 +77,7 @@ def associations(s, d):
 
 def semantic_paths(s, d):
     """X10."""
-    return table(s, d, "raw").select("raw_id", text.semantic_path("href").alias("p")).select("raw_id", "p.path", "p.status")
+    return table(s, d, "raw").select("raw_id", text.semantic_path("href").alias("p")).select("raw_id", "p.path", "p.status", "p.reason", F.array_join("p.flags", ",").alias("flags"))
 
 
 QUERIES = {
@@ -87,6 +87,15 @@ QUERIES = {
     )
 }
 ORACLE = {
+    "semantic_paths": r"""
+WITH r AS (SELECT raw_id, href, href IS NULL OR regexp_matches(href, '[\x00-\x20\x7f]') AS bad, coalesce(regexp_matches(href, '(?i)^https?://([^/?#@]*@)?[^/?#:@]+(:\d*)?([/?#]|$)'), false) AS web,
+  string_split(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS raws FROM raw),
+x AS (SELECT *, list_transform(raws, lambda s: trim(regexp_replace(regexp_replace(url_decode(s), '[-_]', ' ', 'g'), '\s+', ' ', 'g'))) AS words FROM r),
+y AS (SELECT *, array_to_string(list_filter(words, lambda w: w <> ''), ' / ') AS path,
+  flatten(list_transform(list_zip(raws, words), lambda z: list_filter([CASE WHEN contains(lower(z[1]), '%2f') THEN 'encoded_slash_in_segment' END, CASE WHEN regexp_full_match(z[2], '\d+') THEN 'numeric_segment' END,
+    CASE WHEN length(z[2]) >= 24 AND NOT contains(z[2], ' ') THEN 'possibly_opaque_segment' END], lambda f: f IS NOT NULL))) AS flags FROM x)
+SELECT raw_id, CASE WHEN bad OR NOT web THEN '' ELSE path END AS path, CASE WHEN bad OR NOT web OR path = '' THEN 'unavailable' ELSE 'ready' END AS status,
+  CASE WHEN bad THEN 'invalid_url' WHEN NOT web THEN 'unsupported_url' WHEN path = '' THEN 'root_only_path' END AS reason, CASE WHEN bad OR NOT web THEN '' ELSE array_to_string(flags, ',') END AS flags FROM y""",
     "query_units": "WITH p AS (SELECT DISTINCT trim(prompt) AS t FROM raw WHERE prompt IS NOT NULL) SELECT CASE WHEN t = '' OR strlen(t) > 4096 THEN 'unavailable' ELSE 'ready' END AS status, CASE WHEN t = '' THEN 'blank' WHEN strlen(t) > 4096 THEN 'oversized' END AS reason, count(*) AS n FROM p GROUP BY 1, 2",
     "associations": "SELECT lower(trim(citation_category)) AS citation_category, count(*) AS n, count(html_content) AS with_snapshot, count(prompt) AS with_query FROM raw GROUP BY 1",
     "html_titles": r"WITH r AS (SELECT DISTINCT html_content AS h, href FROM raw WHERE html_content IS NOT NULL) SELECT nullif(regexp_extract(h, '<html lang=\"(\w+)\"', 1), '') AS lang, count(*) AS n FROM r WHERE regexp_matches(h, '(?i)<title>') GROUP BY 1".replace('\\"', '"'),
