@@ -8,7 +8,7 @@ import sys
 
 from weftline.session import local_session
 
-PLANS = ("audit", "quality", "vectors", "blocks", "extract", "features", "model", "sources")
+PLANS = ("audit", "quality", "vectors", "blocks", "extract", "features", "model", "sources", "relations")
 
 
 def all_queries() -> dict:

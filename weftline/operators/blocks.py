@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -231,10 +231,50 @@ def agreement(results: DataFrame) -> DataFrame:
     return pairs.select("snapshot_id", "method_a", "method_b", F.round(F.col("common") / (F.col("sa") + F.col("sb") - F.col("common")), 6).alias("agreement"))
 
 
-def select_candidates(results: DataFrame, order: list[str], least: int = 200) -> DataFrame:
-    """(snapshot_id, status, method): the first method of `order` with an ok result of at least `least` characters; else needs_review when any text exists, else source_insufficient."""
-    size = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method")).cast("int"), F.lit(0))
-    g = results.groupBy("snapshot_id").agg(F.min(F.when((F.col("status") == "ok") & (size >= least) & (rank > 0), F.struct(rank.alias("r"), F.col("method").alias("m")))).alias("b"), F.max(size).alias("most"))
-    status = F.when(F.col("b").isNotNull(), "selected").when(F.col("most") > 0, "needs_review").otherwise("source_insufficient")
-    return g.select("snapshot_id", status.alias("status"), F.col("b.m").alias("method"))
+RETENTION = {"html": "conservative_dom", "markdown": "markdown_text", "text": "markdown_text"}
+AGREE = 0.65  # of the words of two independent candidates, from which one may be proposed
+
+
+def _usable(results: DataFrame, method: str) -> DataFrame:
+    """(snapshot_id, text) of a method's successful results that aren't blank, the longest of each snapshot."""
+    good = results.where((F.col("method") == method) & (F.col("status") == "ok") & F.col("text").rlike(r"(?U)\S"))
+    return good.groupBy("snapshot_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+
+
+def _no_source() -> Column:
+    payload, body = (F.coalesce(c, F.lit("")) for c in ("payload", "body_text"))
+    return (F.lower(F.trim(payload)) == "not-implemented") | ~body.rlike(r"(?U)\S")
+
+
+def select_candidates(sources: DataFrame, results: DataFrame) -> DataFrame:
+    """(snapshot_id, status, method): retention first.
+
+    sources: (snapshot_id, format, payload, body_text, quality_flags). The one preferred method of a format is taken or
+    none: without its text a snapshot needs review, as does one with flags. Nothing else stands in for it.
+    """
+    preferred = F.create_map(*[F.lit(x) for pair in RETENTION.items() for x in pair])[F.col("format")]
+    ready = _usable(results, "conservative_dom").select("snapshot_id", F.lit("conservative_dom").alias("method"))
+    ready = ready.unionAll(_usable(results, "markdown_text").select("snapshot_id", F.lit("markdown_text").alias("method")))
+    x = sources.withColumn("preferred", preferred).join(ready.withColumnRenamed("method", "preferred").withColumn("there", F.lit(True)), ["snapshot_id", "preferred"], "left")
+    status = F.when(F.col("preferred").isNull(), "unsupported_format").when(_no_source(), "source_insufficient").when(F.col("there").isNull() | (F.size("quality_flags") > 0), "needs_review").otherwise("selected")
+    return x.withColumn("status", status).select("snapshot_id", "status", F.when(F.col("there") & F.col("status").isin("selected", "needs_review"), F.col("preferred")).alias("method"))
+
+
+def select_by_agreement(sources: DataFrame, results: DataFrame, least: float = AGREE) -> DataFrame:
+    """(snapshot_id, status, method, agreement): precision first, by the agreement of two independent candidates.
+
+    Native formats keep their own text. A page that may report an error, or whose candidates differ too much, needs review.
+    Readability's text is taken for code and spanning tables, otherwise trafilatura's.
+    """
+    agreed = agreement(results.where("method IN ('readability', 'trafilatura') AND status = 'ok'")).where("method_a = 'readability' AND method_b = 'trafilatura'").select("snapshot_id", "agreement")
+    native = _usable(results, "markdown_text").select("snapshot_id", F.lit(True).alias("native"))
+    both = _usable(results, "readability").select("snapshot_id").join(_usable(results, "trafilatura").select("snapshot_id"), "snapshot_id").withColumn("both", F.lit(True))
+    x = sources.join(native, "snapshot_id", "left").join(both, "snapshot_id", "left").join(agreed, "snapshot_id", "left")
+    complex_ = F.coalesce("payload", F.lit("")).rlike(r"(?i)<pre\b|<(?:th|td)\b[^>]*(?:rowspan|colspan)\s*=")
+    is_native, html = F.col("format").isin("markdown", "text"), F.col("format") == "html"
+    share = F.when(F.col("both"), F.coalesce("agreement", F.lit(0.0)))
+    open_ = html & F.col("both") & ~F.array_contains("quality_flags", "possible_error_response")
+    method = F.when(is_native & F.col("native"), "markdown_text").when(open_ & (share >= least), F.when(complex_, "readability").otherwise("trafilatura"))
+    x = x.withColumn("method", F.when(~_no_source(), method))
+    status = F.when(_no_source(), "source_insufficient").when(F.col("method").isNotNull(), "selected").when(is_native | html, "needs_review").otherwise("unsupported_format")
+    return x.select("snapshot_id", status.alias("status"), "method", F.when(~_no_source() & open_, share).alias("agreement"))

@@ -125,6 +125,34 @@ def drift(old: DataFrame, new: DataFrame, key: str, features: list[str]) -> Data
     return j.groupBy("feature").agg(F.round(F.avg(gap), 6).alias("mean_abs"), F.round(F.avg(gap) / F.nullif(F.stddev_pop("old"), F.lit(0.0)), 6).alias("relative"), F.round(F.avg((gap > TIE).cast("double")), 6).alias("changed"))
 
 
+def poisson_weight(group: str, seed: int) -> Column:
+    """How often a group is drawn in repeat b, by Poisson(1), from the digest of seed, group and repeat."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col("b").cast("string")))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    steps, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 9):
+        total += term
+        steps.append(round(total, 12))
+        term /= k
+    return sum(((draw >= t).cast("int") for t in steps), F.lit(0))
+
+
+def auc_delta(df: DataFrame, group: str, label: str, old: str, new: str, repeats: int = 500, seed: int = 142) -> DataFrame:
+    """(estimate, low, high): how much the new score's AUC exceeds the old one's, with a 95 % interval from whole groups drawn alike for both.
+
+    Rows of one group and score are counted first; a repeat then has as many rows as there are scores. Repeats in which one class is missing don't count.
+    """
+    side = lambda name, score: df.select(group, F.col(label).alias("y"), F.lit(name).alias("which"), F.col(score).alias("p"))
+    cells = side("old", old).unionAll(side("new", new)).where("p IS NOT NULL AND y IS NOT NULL").groupBy(group, "which", "p").agg(F.sum("y").alias("up"), F.count_if(F.col("y") == 0).alias("down"))
+    each = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(repeats)))).withColumn("w", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(group, seed)))
+    sums = each.groupBy("b", "which", "p").agg(F.sum(F.col("w") * F.col("up")).cast("double").alias("up"), F.sum(F.col("w") * F.col("down")).cast("double").alias("down"))
+    below = F.sum("down").over(W.partitionBy("b", "which").orderBy("p")) - F.col("down") / 2
+    auc = sums.withColumn("won", F.col("up") * below).groupBy("b", "which").agg((F.sum("won") / F.nullif(F.sum("up") * F.sum("down"), F.lit(0.0))).alias("auc"))
+    gap = auc.groupBy("b").agg((F.max(F.when(F.col("which") == "new", F.col("auc"))) - F.max(F.when(F.col("which") == "old", F.col("auc")))).alias("gap"))
+    q = F.percentile(F.when(F.col("b") > 0, F.col("gap")), F.array(F.lit(0.025), F.lit(0.975)))
+    return gap.agg(F.max(F.when(F.col("b") == 0, F.col("gap"))).alias("estimate"), q.alias("q")).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def group_bootstrap(df: DataFrame, group: str, value: str, repeats: int = 500, seed: int = 142) -> DataFrame:
     """(estimate, low, high): the mean of `value` with a 95 % interval from resampling whole groups.
 
@@ -132,14 +160,7 @@ def group_bootstrap(df: DataFrame, group: str, value: str, repeats: int = 500, s
     sums for each repeat are moved.
     """
     sums = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(group), F.col("b")), 11) / F.lit(float(1 << 53))
-    steps, term, total = [], math.exp(-1), 0.0
-    for k in range(1, 9):
-        total += term
-        steps.append(total)
-        term /= k
-    weight = sum(((draw >= t).cast("int") for t in steps), F.lit(0))
-    each = sums.select(group, "s", "n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("b")).withColumn("w", weight)
+    each = sums.select(group, "s", "n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("b")).withColumn("w", poisson_weight(group, seed))
     means = each.groupBy("b").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
     bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return bounds.crossJoin(sums.agg((F.sum("s") / F.sum("n")).alias("estimate"))).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -89,14 +89,28 @@ def baseline_pairs(s, d):
 
 
 def candidate_agreement(s, d):
-    """Candidates against the stored blocks of their snapshot."""
+    """U4: candidates against the stored blocks of their snapshot."""
     stored = _b(s, d).where("text IS NOT NULL").groupBy("snapshot_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).select("snapshot_id", F.lit("stored").alias("method"), "text")
     return ops.agreement(table(s, d, "candidate_results").select("snapshot_id", "method", "text").unionByName(stored))
 
 
+def _sources(s, d):
+    """Snapshots with their payload, a rough visible text, and flags."""
+    flags = table(s, d, "quality_flags").groupBy("raw_id").agg(F.max("clear_failure_union").alias("failed"))
+    x = table(s, d, "snapshots").select("snapshot_id", F.col("payload_format").alias("format"), F.col("first_raw_id").alias("raw_id")).join(table(s, d, "raw").select("raw_id", F.col("html_content").alias("payload")), "raw_id", "left").join(flags, "raw_id", "left")
+    visible = F.regexp_replace("payload", r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+    flagged = F.when(F.col("failed"), F.array(F.lit("possible_error_response"))).otherwise(F.array().cast("array<string>"))
+    return x.select("snapshot_id", "format", "payload", visible.alias("body_text"), flagged.alias("quality_flags"))
+
+
 def selection(s, d):
     """H17."""
-    return ops.select_candidates(table(s, d, "candidate_results"), METHODS)
+    return ops.select_candidates(_sources(s, d), table(s, d, "candidate_results"))
+
+
+def precision_selection(s, d):
+    """H18."""
+    return ops.select_by_agreement(_sources(s, d), table(s, d, "candidate_results"))
 
 
 def selection_census(s, d):
@@ -126,13 +140,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         blocks_census, section_segments, supported_headings, block_depths, tree_faults, document_texts, chunks, chunk_partition, anchor_retention, anchors_without_block, latency, baseline_pairs,
-        candidate_agreement, selection, selection_census, support_matrix, repeated_paragraph, previous_block_gap,
+        candidate_agreement, selection, precision_selection, selection_census, support_matrix, repeated_paragraph, previous_block_gap,
     )
 }
 
 _B = "WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, method, block_id ORDER BY block_uid) AS rn FROM blocks) WHERE rn = 1), s AS (SELECT *, sum((block_type = 'heading')::INT) OVER (PARTITION BY snapshot_id, method ORDER BY block_order, block_id ROWS UNBOUNDED PRECEDING) AS section FROM b) "
 _A = "WITH a AS (SELECT DISTINCT snapshot_id, CASE WHEN block_type = 'heading' AND heading_level = 1 THEN 'required' WHEN contains(text, '©') THEN 'unwanted' END AS kind, text AS anchor FROM blocks WHERE text IS NOT NULL AND trim(text) <> '' AND snapshot_id IN (SELECT snapshot_id FROM candidate_results)), k AS (SELECT * FROM a WHERE kind IS NOT NULL) "
-_SEL = "WITH g AS (SELECT snapshot_id, min({'r': list_position(['conservative_dom', 'readability', 'trafilatura', 'baseline', 'markdown_text'], method), 'm': method}) FILTER (status = 'ok' AND length(trim(coalesce(text, ''))) >= 200 AND method IN ('conservative_dom', 'readability', 'trafilatura', 'baseline', 'markdown_text')) AS b, max(length(trim(coalesce(text, '')))) AS most FROM candidate_results GROUP BY snapshot_id), sel AS (SELECT snapshot_id, CASE WHEN b IS NOT NULL THEN 'selected' WHEN most > 0 THEN 'needs_review' ELSE 'source_insufficient' END AS status, b.m AS method FROM g) "
+_SRC = r"""WITH q AS (SELECT raw_id, bool_or(clear_failure_union) AS failed FROM quality_flags GROUP BY 1), src AS (SELECT snapshot_id, payload_format AS format, html_content AS payload, coalesce(failed, false) AS failed,
+  lower(trim(html_content, ' ')) = 'not-implemented' OR NOT regexp_matches(regexp_replace(html_content, '(?is)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g'), '[^\s\p{Z}]') AS none
+  FROM snapshots LEFT JOIN raw ON raw_id = first_raw_id LEFT JOIN q USING (raw_id)), good AS (SELECT snapshot_id, method, max_by(text, length(text)) AS text FROM candidate_results WHERE status = 'ok' AND regexp_matches(text, '[^\s\p{Z}]') GROUP BY 1, 2), """
+_SEL = _SRC + r"""p AS (SELECT *, CASE WHEN format = 'html' THEN 'conservative_dom' WHEN format IN ('markdown', 'text') THEN 'markdown_text' END AS preferred FROM src),
+sel AS (SELECT p.snapshot_id, CASE WHEN preferred IS NULL THEN 'unsupported_format' WHEN none THEN 'source_insufficient' WHEN good.method IS NULL OR failed THEN 'needs_review' ELSE 'selected' END AS status,
+  CASE WHEN NOT none THEN good.method END AS method FROM p LEFT JOIN good ON good.snapshot_id = p.snapshot_id AND good.method = preferred) """
+_PREC = _SRC + r"""w AS (SELECT snapshot_id, method, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM good WHERE method IN ('readability', 'trafilatura')),
+n AS (SELECT snapshot_id, word, count(*) FILTER (method = 'readability') AS a, count(*) FILTER (method = 'trafilatura') AS b FROM w GROUP BY 1, 2), ag AS (SELECT snapshot_id, round(sum(least(a, b)) / sum(greatest(a, b)), 6) AS agreement FROM n GROUP BY 1),
+b AS (SELECT snapshot_id, bool_or(method = 'markdown_text') AS native, count(*) FILTER (method IN ('readability', 'trafilatura')) = 2 AS pair FROM good GROUP BY 1),
+x AS (SELECT src.*, coalesce(native, false) AS native, format = 'html' AND coalesce(pair, false) AND NOT failed AS open, coalesce(agreement, 0.0) AS share FROM src LEFT JOIN b USING (snapshot_id) LEFT JOIN ag USING (snapshot_id)),
+m AS (SELECT *, CASE WHEN none THEN NULL WHEN format IN ('markdown', 'text') AND native THEN 'markdown_text' WHEN open AND share >= 0.65 THEN CASE WHEN regexp_matches(payload, '(?i)<pre\b|<(th|td)\b[^>]*(rowspan|colspan)\s*=') THEN 'readability' ELSE 'trafilatura' END END AS method FROM x)
+SELECT snapshot_id, CASE WHEN none THEN 'source_insufficient' WHEN method IS NOT NULL THEN 'selected' WHEN format IN ('html', 'markdown', 'text') THEN 'needs_review' ELSE 'unsupported_format' END AS status, method, CASE WHEN NOT none AND open THEN share END AS agreement FROM m"""
 ORACLE = {
     "blocks_census": "SELECT method, block_type, mapping_status, count(*) AS n, sum(length(text))::BIGINT AS chars FROM blocks GROUP BY 1, 2, 3",
     "section_segments": _B + ", g AS (SELECT snapshot_id, method, section, coalesce(sum(CASE WHEN block_type <> 'heading' THEN length(trim(text)) ELSE 0 END), 0)::BIGINT AS chars FROM s GROUP BY 1, 2, 3) SELECT snapshot_id, method, count(*) AS sections, max(chars) AS longest FROM g WHERE section > 0 OR chars > 0 GROUP BY 1, 2",
@@ -147,6 +172,7 @@ ORACLE = {
     "baseline_pairs": _B + ", t AS (SELECT snapshot_id, sum(length(text)) AS base FROM b GROUP BY 1), r AS (SELECT snapshot_id, method, max(length(text)) AS n FROM candidate_results WHERE status = 'ok' AND text IS NOT NULL GROUP BY 1, 2) SELECT method, count(*) AS pairs, round(avg(n - base), 6) AS mean_delta FROM r JOIN t USING (snapshot_id) GROUP BY 1",
     "candidate_agreement": _B + r", best AS (SELECT snapshot_id, method, arg_max(text, length(text)) AS text FROM candidate_results WHERE text IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT snapshot_id, 'stored', string_agg(text, ' ') FROM b WHERE text IS NOT NULL GROUP BY 1), c AS (SELECT snapshot_id, method, w, count(*) AS n FROM (SELECT snapshot_id, method, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM best) GROUP BY 1, 2, 3), z AS (SELECT snapshot_id, method, sum(n) AS n FROM c GROUP BY 1, 2), i AS (SELECT a.snapshot_id, a.method AS ma, b.method AS mb, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.snapshot_id = b.snapshot_id AND a.w = b.w AND a.method < b.method GROUP BY 1, 2, 3) SELECT a.snapshot_id, a.method AS method_a, b.method AS method_b, round(coalesce(common, 0) / (a.n + b.n - coalesce(common, 0)), 6) AS agreement FROM z a JOIN z b ON a.snapshot_id = b.snapshot_id AND a.method < b.method LEFT JOIN i ON i.snapshot_id = a.snapshot_id AND ma = a.method AND mb = b.method",
     "selection": _SEL + "SELECT * FROM sel",
+    "precision_selection": _PREC,
     "selection_census": _SEL + "SELECT status, method, count(*) AS n FROM sel GROUP BY 1, 2",
     "support_matrix": "SELECT method, payload_format, count(*) AS n, count(*) FILTER (status = 'ok') AS ok FROM candidate_results JOIN snapshots USING (snapshot_id) GROUP BY 1, 2",
     "repeated_paragraph": "SELECT text, count(DISTINCT snapshot_id) AS n FROM blocks WHERE block_type = 'paragraph' AND length(text) >= 60 GROUP BY text ORDER BY n DESC, text LIMIT 1",

@@ -107,18 +107,26 @@ def drift_population_sd(s, d):
 def bootstrap_interval(s, d):
     """Body words with whole hosts resampled."""
     f = table(s, d, "quality_flags").select("raw_id", "hostname", "body_words").distinct()
-    return stats.group_bootstrap(f.where("hostname IS NOT NULL"), "hostname", "body_words").select(F.round("estimate", 6).alias("estimate"), (F.col("low") <= F.col("estimate")).alias("above_low"), (F.col("high") >= F.col("estimate")).alias("below_high"))
+    return stats.group_bootstrap(f.where("hostname IS NOT NULL"), "hostname", "body_words").select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+
+
+def auc_delta(s, d):
+    """A score of discount and tax against one of discount alone, suppliers resampled."""
+    x = table(s, d, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias("y"), F.round(F.lit(0.05) + F.col("l_discount") * 6 + F.col("l_tax") * 3, 4).alias("p"), F.round("l_discount", 4).alias("q"), "l_suppkey"
+    )
+    return stats.auc_delta(x, "l_suppkey", "y", "q", "p", 100).select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
 
 
 def pending_embeddings(s, d):
     """Texts to embed, against an empty cache, with the offline provider."""
-    u = table(s, d, "blocks").where("block_type = 'heading' AND text IS NOT NULL").select("text", F.lit("document").alias("role"))
+    u = table(s, d, "blocks").where("text IS NOT NULL").select("text", F.lit("document").alias("role"))
     return vectors.embed_pending(u, None, "offline-8").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"))
 
 
 def cache_summary(s, d):
     """S18, S25."""
-    u = table(s, d, "blocks").where("block_type = 'heading' AND text IS NOT NULL").select("text", F.lit("document").alias("role"))
+    u = table(s, d, "blocks").where("text IS NOT NULL").select("text", F.lit("document").alias("role"))
     return vectors.cache_status(vectors.embed_pending(u, None, "offline-8")).select("model", "vectors", "failed", F.col("width").cast("bigint").alias("width"))
 
 
@@ -126,7 +134,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_norms, knn_cosine, section_topk, weighted_pool, dimension_stats, pca_explained, pca_projection, rank_auc, within_group_auc, brier_logloss, average_precision, calibration_bins,
-        constant_baseline, ndcg_recall_at_5, drift_population_sd, bootstrap_interval, pending_embeddings, cache_summary,
+        constant_baseline, ndcg_recall_at_5, drift_population_sd, bootstrap_interval, auc_delta, pending_embeddings, cache_summary,
     )
 }
 
@@ -134,6 +142,7 @@ _S = "WITH x AS (SELECT (l_returnflag = 'R')::INT AS y, round(0.05 + l_discount
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _BIN = "SELECT count(*) AS n_rows, round(avg(y), 6) AS prevalence, round(-avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(((p >= 0.5) = (y = 1))::INT), 6) AS accuracy, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM "
 _RANK = "c AS (SELECT {g} p, count(*) AS t, sum(y) AS up FROM x GROUP BY ALL), r AS (SELECT *, sum(t) OVER (PARTITION BY {pg} ORDER BY p) - t + (t + 1) / 2 AS rank FROM c), a AS (SELECT {g} sum(t)::BIGINT AS n_rows, sum(up)::BIGINT AS positives, sum(rank * up) AS r FROM r GROUP BY ALL) "
+_DRAW = "d AS (SELECT *, ('0x' || substr(md5('142:' || {group} || ':' || b), 1, 13))::BIGINT / 4503599627370496.0 AS draw FROM {cells}, range(1, {repeats} + 1) t(b)), w AS (SELECT *, (draw >= 0.367879441171)::INT + (draw >= 0.735758882343)::INT + (draw >= 0.919698602929)::INT + (draw >= 0.981011843124)::INT + (draw >= 0.996340153173)::INT + (draw >= 0.999405815182)::INT + (draw >= 0.999916758851)::INT + (draw >= 0.999989750803)::INT AS w FROM d)"
 ORACLE = {
     "vector_norms": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
     "knn_cosine": f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM r WHERE rank <= 5",
@@ -148,7 +157,12 @@ ORACLE = {
     "constant_baseline": _S + _BIN + "(SELECT y, avg(y) OVER () AS p FROM x)",
     "ndcg_recall_at_5": "WITH l AS (SELECT l_orderkey, l_linenumber, max(floor(l_quantity / 17)::INT) AS grade, max(round(l_extendedprice, 2)) AS score FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY grade DESC, l_linenumber) AS i FROM l), g AS (SELECT l_orderkey, sum(CASE WHEN r <= 5 THEN (2 ** grade - 1) / log2(r + 1) ELSE 0 END) AS d, sum(CASE WHEN i <= 5 THEN (2 ** grade - 1) / log2(i + 1) ELSE 0 END) AS b, count(*) FILTER (r <= 5 AND grade > 0) AS h, count(*) FILTER (grade > 0) AS n FROM r GROUP BY 1) SELECT l_orderkey, round(CASE WHEN b > 0 THEN d / b END, 6) AS ndcg, round(CASE WHEN n > 0 THEN h / n END, 6) AS recall FROM g",
     "drift_population_sd": "WITH o AS (SELECT snapshot_id, count(*) AS n_blocks, sum(length(text)) AS n_chars FROM blocks WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1), c AS (SELECT snapshot_id, len(list_filter(blocks, lambda b: trim(b.text) <> '')) AS n_blocks, length(text) AS n_chars FROM candidate_results WHERE blocks IS NOT NULL), j AS (SELECT 'n_blocks' AS feature, o.n_blocks::DOUBLE AS o, c.n_blocks::DOUBLE AS n FROM o JOIN c USING (snapshot_id) UNION ALL SELECT 'n_chars', o.n_chars::DOUBLE, c.n_chars::DOUBLE FROM o JOIN c USING (snapshot_id)) SELECT feature, round(avg(abs(n - o)), 6) AS mean_abs, round(avg(abs(n - o)) / nullif(stddev_pop(o), 0), 6) AS relative, round(avg((abs(n - o) > 1e-12)::INT), 6) AS changed FROM j WHERE n IS NOT NULL AND o IS NOT NULL GROUP BY feature",
-    "bootstrap_interval": "SELECT round(sum(body_words) / count(body_words), 6) AS estimate, true AS above_low, true AS below_high FROM (SELECT DISTINCT raw_id, hostname, body_words FROM quality_flags) WHERE hostname IS NOT NULL",
-    "pending_embeddings": "SELECT 'success' AS status, count(DISTINCT text) AS n, 8 AS width FROM blocks WHERE block_type = 'heading' AND text IS NOT NULL",
-    "cache_summary": "SELECT 'offline-8' AS model, count(DISTINCT text) AS vectors, 0 AS failed, 8 AS width FROM blocks WHERE block_type = 'heading' AND text IS NOT NULL",
+    "bootstrap_interval": "WITH f AS (SELECT hostname, sum(body_words)::DOUBLE AS s, count(*) AS n FROM (SELECT DISTINCT raw_id, hostname, body_words FROM quality_flags) WHERE hostname IS NOT NULL AND body_words IS NOT NULL GROUP BY 1), "
+    + _DRAW.format(group="hostname", repeats=500, cells="f")
+    + ", m AS (SELECT b, sum(s * w) / sum(n * w) AS m FROM w GROUP BY b) SELECT (SELECT round(sum(s) / sum(n), 6) FROM f) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m",
+    "auc_delta": "WITH x AS (SELECT (l_returnflag = 'R')::INT AS y, round(0.05 + l_discount * 6 + l_tax * 3, 4) AS p, round(l_discount, 4) AS q, l_suppkey FROM lineitem), f AS (SELECT l_suppkey, which, p, sum(y) AS up, count(*) FILTER (y = 0) AS down FROM (SELECT l_suppkey, y, 'new' AS which, p FROM x UNION ALL SELECT l_suppkey, y, 'old', q FROM x) GROUP BY 1, 2, 3), "
+    + _DRAW.format(group="l_suppkey", repeats=100, cells="(SELECT DISTINCT l_suppkey FROM f)")
+    + ", a AS (SELECT l_suppkey, b, w FROM w UNION ALL SELECT DISTINCT l_suppkey, 0, 1 FROM f), s AS (SELECT b, which, p, sum(w * up)::DOUBLE AS up, sum(w * down)::DOUBLE AS down FROM f JOIN a USING (l_suppkey) GROUP BY 1, 2, 3), r AS (SELECT *, sum(down) OVER (PARTITION BY b, which ORDER BY p) - down / 2 AS below FROM s), u AS (SELECT b, which, sum(up * below) / (sum(up) * sum(down)) AS auc FROM r GROUP BY 1, 2), g AS (SELECT b, max(auc) FILTER (which = 'new') - max(auc) FILTER (which = 'old') AS gap FROM u GROUP BY b) SELECT (SELECT round(gap, 6) FROM g WHERE b = 0) AS estimate, round(quantile_cont(gap, 0.025) FILTER (b > 0), 6) AS low, round(quantile_cont(gap, 0.975) FILTER (b > 0), 6) AS high FROM g",
+    "pending_embeddings": "SELECT 'success' AS status, count(DISTINCT text) AS n, 8 AS width FROM blocks WHERE text IS NOT NULL",
+    "cache_summary": "SELECT 'offline-8' AS model, count(DISTINCT text) AS vectors, 0 AS failed, 8 AS width FROM blocks WHERE text IS NOT NULL",
 }
