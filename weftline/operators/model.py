@@ -15,7 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.stats import binary_metrics, rank_auc
+from weftline.operators.stats import binary_metrics, rank_auc, running_sums
+from weftline.session import Scratch
 
 
 def hash_split(group: Column, seed: int = 42, train: float = 0.8, validation: float = 0.1) -> Column:
@@ -115,7 +116,7 @@ def fit(df: DataFrame, features: list[str], label: str, c: float = 1.0, weight:
 
 def cross_validate(df: DataFrame, features: list[str], label: str, group: str, strengths: list[float], folds: int = 4) -> list[tuple[float, int, float | None, float]]:
     """(C, fold, AUC, log loss) of each fold held out; folds keep groups whole. A few small fits, driven from the driver."""
-    dealt = df.join(group_folds(df, group, label, folds), group).persist()
+    dealt = Scratch(df.sparkSession, "folds").put(df.join(group_folds(df, group, label, folds), group))
     out = []
     for c in strengths:
         for k in range(folds):
@@ -123,7 +124,6 @@ def cross_validate(df: DataFrame, features: list[str], label: str, group: str, s
             auc = rank_auc(held, label, "probability").collect()
             loss = binary_metrics(held, label, "probability").collect()[0]["log_loss"]
             out.append((c, k, auc[0]["auc"] if auc else None, loss))
-    dealt.unpersist()
     return out
 
 
@@ -134,19 +134,52 @@ def concentration(model: Fitted) -> tuple[float, float]:
     return sizes[0] / total if sizes else 0.0, sum(sizes[:5]) / total
 
 
-def permutation_importance(model: Fitted, df: DataFrame, key: str, label: str, names: list[str], seed: int = 7) -> list[tuple[str, float]]:
-    """(feature, rise of log loss) when a feature's values are dealt out anew among the rows by hash order."""
+def dealt_hosts(hosts: DataFrame, host: str, seed: int = 42, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
+    """(host, split): distinct hosts in the order of a seeded digest, the first `shares` of them train and validation, the rest test. No list of hosts is made."""
+    x = hosts.select(host, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(host))).alias("h"), F.lit(1).alias("one"))
+    n = x.count()
+    first, second = int(shares[0] * n), int(shares[0] * n) + int(shares[1] * n)
+    place = F.col("before_one")
+    return running_sums(x.withColumn("at", F.conv(F.substring("h", 1, 13), 16, 10).cast("bigint")), "at", ["one"]).select(host, F.when(place < first, "train").when(place < second, "validation").otherwise("test").alias("split"))
+
+
+def permutation_importance(model: Fitted, df: DataFrame, key: str, label: str, names: list[str], repeats: int = 30, seed: int = 7) -> DataFrame:
+    """(feature, rise, deviation): of the log loss when a feature's values are dealt out anew among the rows, over `repeats` deals.
+
+    A deal pairs the rows in one hash order with the values in another; places in an order are counted
+    within 64 ranges of the hash, whose sizes go before them. key must be unique.
+    """
     from pyspark.sql import Window as W
 
-    base = binary_metrics(model.score(df), label, "probability").collect()[0]["log_loss"]
-    out = []
+    def placed(columns: list, salt: int) -> DataFrame:
+        x = df.select(*columns, key, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("deal"))
+        x = x.withColumn("h", F.xxhash64(F.lit(seed + salt), "deal", key)).withColumn("part", F.shiftrightunsigned("h", 58))
+        sizes = x.groupBy("deal", "part").agg(F.count(F.lit(1)).alias("n"))  # 64 rows a deal
+        before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("deal").orderBy("part")) - F.col("n")).drop("n")
+        inside = F.row_number().over(W.partitionBy("deal", "part").orderBy("h", key))
+        return x.withColumn("inside", inside).join(F.broadcast(before), ["deal", "part"]).withColumn("place", F.col("before") + F.col("inside")).drop("h", "part", "inside", "before")
+
+    base = binary_metrics(model.score(df), label, "probability").select(F.col("log_loss").alias("base"))
+    y, p = F.col(label).cast("double"), F.least(F.greatest(F.col("probability"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
+    out = None
     for name in names:
-        a = df.select("*", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), key))).alias("r")).drop(name)
-        b = df.select(F.col(name), F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + 1), key))).alias("r"))
-        out.append((name, binary_metrics(model.score(a.join(b, "r")), label, "probability").collect()[0]["log_loss"] - base))
+        rows = placed([c for c in df.columns if c not in (name, key)], 0)
+        values = placed([name], 1).drop(key)
+        dealt = model.score(rows.join(values, ["deal", "place"])).where(y.isNotNull()).groupBy("deal").agg(loss.alias("loss"))
+        one = dealt.crossJoin(F.broadcast(base)).agg(F.lit(name).alias("feature"), F.avg(F.col("loss") - F.col("base")).alias("rise"), F.stddev_pop("loss").alias("deviation"))  # one row of base
+        out = one if out is None else out.unionAll(one)
     return out
 
 
+def best_strength(scores: list[tuple[float, int, float | None, float]]) -> tuple[float, float]:
+    """(C, mean log loss) of the strength that does best over all folds; of equal ones the smaller."""
+    losses: dict[float, list[float]] = {}
+    for c, _, _, loss in scores:
+        losses.setdefault(c, []).append(loss)
+    return min(((sum(v) / len(v), c) for c, v in losses.items()))[::-1]
+
+
 def family_ablation(df: DataFrame, families: dict[str, list[str]], label: str, split: str, c: float = 1.0) -> list[tuple[str, float]]:
     """(family, rise of validation log loss) when a family is left out of the fit."""
     train, held = df.where(F.col(split) == "train"), df.where(F.col(split) == "validation")

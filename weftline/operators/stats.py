@@ -59,6 +59,32 @@ def benjamini_hochberg(df: DataFrame, p: str, name: str) -> DataFrame:
     return raw.withColumn("q", F.round(q, 9)).select(name, p, "q")
 
 
+SLICES = 256  # ranges into which an order is cut
+
+
+def running_sums(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
+    """`df` with before_<name> for each of `sums`: the sum over rows of smaller `order`, over all of them but in no single task.
+
+    Rows are cut into ranges of `order` at approximate quantiles, which only share out the work; the ranges' sums, at
+    most SLICES + 1 rows, go before what a window adds within a range. Nulls in `order` come first; rows of one value have one result.
+    """
+    kept = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), F.lit(10_000))).collect()[0][0] or []
+    edges = sorted(set(kept))
+    kind = df.schema[order].dataType
+    slice_ = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(e).cast(kind) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0))
+    x = df.withColumn("slice", slice_)
+    totals = {r["slice"]: r for r in x.groupBy("slice").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
+    w = W.partitionBy("slice").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    of_value = W.partitionBy("slice", order)
+    for c in sums:
+        before, so_far = [], 0
+        for i in range(-1, len(edges) + 1):
+            before.append(F.lit(so_far))
+            so_far += (totals[i][c] if i in totals else 0) or 0
+        x = x.withColumn(f"before_{c}", F.element_at(F.array(*before), F.col("slice") + 2) + F.sum(c).over(w) - F.sum(c).over(of_value))
+    return x.drop("slice")
+
+
 def rank_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """(by..., rows, positives, auc): area under the ROC curve by average ranks; null with one class only.
 
@@ -66,8 +92,11 @@ def rank_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     """
     by = by or []
     c = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col(label).cast("int")).alias("up"))
-    before = F.sum("t").over(W.partitionBy(*by).orderBy("s")) - F.col("t") if by else F.sum("t").over(W.orderBy("s")) - F.col("t")
-    g = c.withColumn("rank", before + (F.col("t") + 1) / 2).groupBy(*by).agg(F.sum("t").alias("n_rows"), F.sum("up").alias("positives"), F.sum(F.col("rank") * F.col("up")).alias("r"))
+    if by:
+        c = c.withColumn("before_t", F.sum("t").over(W.partitionBy(*by).orderBy("s")) - F.col("t"))
+    else:
+        c = running_sums(c, "s", ["t"])
+    g = c.withColumn("rank", F.col("before_t") + (F.col("t") + 1) / 2).groupBy(*by).agg(F.sum("t").alias("n_rows"), F.sum("up").alias("positives"), F.sum(F.col("rank") * F.col("up")).alias("r"))
     neg = F.col("n_rows") - F.col("positives")
     return g.select(*by, "n_rows", "positives", F.round(F.when((F.col("positives") > 0) & (neg > 0), (F.col("r") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * neg)), 6).alias("auc"))
 
@@ -86,9 +115,8 @@ def binary_metrics(df: DataFrame, label: str, probability: str, threshold: float
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: sum over distinct scores, from the highest, of precision times the gain in recall."""
-    c = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col(label).cast("int")).alias("up"))
-    w = W.orderBy(F.desc("s"))
-    x = c.select("up", (F.sum("up").over(w) / F.sum("t").over(w)).alias("precision"))
+    c = df.groupBy((-F.col(score)).alias("s")).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col(label).cast("int")).alias("up"))
+    x = running_sums(c, "s", ["t", "up"]).select("up", ((F.col("before_up") + F.col("up")) / (F.col("before_t") + F.col("t"))).alias("precision"))
     return x.agg(F.round(F.sum(F.col("precision") * F.col("up")) / F.sum("up"), 6).alias("average_precision"))
 
 

@@ -28,9 +28,9 @@ def host_splits(s, d):
 
 
 def shuffled_host_splits(s, d):
-    """M10, by seeded shuffle of the list of sites."""
-    hosts = [r[0] for r in _rows(s, d).select("site").where("site IS NOT NULL").distinct().collect()]
-    return s.createDataFrame(sorted(model.shuffled_hosts(hosts).items()), "site STRING, split STRING").groupBy("split").agg(F.count(F.lit(1)).alias("n_sites"))
+    """M10, by exact shares: sites in the order of a seeded digest, 80, 10 and 10 of a hundred."""
+    sites = _rows(s, d).select("site").where("site IS NOT NULL").distinct()
+    return model.dealt_hosts(sites, "site").groupBy("split").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
 def lr_fit_coefficients(s, d):
@@ -47,8 +47,9 @@ def lr_test_metrics(s, d):
 
 def cross_validation(s, d):
     """M2, M3."""
-    out = model.cross_validate(_rows(s, d).where("site IS NOT NULL"), FEATURES, "y", "site", [0.01, 1.0], 2)
-    return s.createDataFrame([(c, k, a, l) for c, k, a, l in out], "c DOUBLE, fold INT, auc DOUBLE, log_loss DOUBLE")
+    out = model.cross_validate(_rows(s, d).where("site IS NOT NULL"), FEATURES, "y", "site", [0.001, 0.01, 0.1, 1.0], 4)
+    best, _ = model.best_strength(out)
+    return s.createDataFrame([(c, k, a, l, c == best) for c, k, a, l in out], "c DOUBLE, fold INT, auc DOUBLE, log_loss DOUBLE, chosen BOOLEAN")
 
 
 def group_folds(s, d):
@@ -61,7 +62,7 @@ def permutation(s, d):
     """M11."""
     rows = _rows(s, d)
     m = model.fit(rows.where("split = 'train'"), FEATURES, "y", 0.01)
-    return s.createDataFrame(model.permutation_importance(m, rows.where("split = 'validation'"), "raw_id", "y", FEATURES[:2]), "feature STRING, rise DOUBLE")
+    return model.permutation_importance(m, rows.where("split = 'validation'").dropDuplicates(["raw_id"]), "raw_id", "y", FEATURES)
 
 
 def ablation(s, d):
@@ -70,8 +71,11 @@ def ablation(s, d):
 
 
 def response_curve(s, d):
+    """Each feature that isn't a flag."""
     rows = _rows(s, d)
-    return model.response_curve(model.fit(rows.where("split = 'train'"), FEATURES, "y", 0.01), rows, "body_words")
+    m = model.fit(rows.where("split = 'train'"), FEATURES, "y", 0.01)
+    one, two, three = (model.response_curve(m, rows, f).withColumn("feature", F.lit(f)) for f in FEATURES[:3])
+    return one.unionAll(two).unionAll(three)
 
 
 def attribution(s, d):
@@ -99,3 +103,5 @@ QUERIES = {
     for f in (host_splits, shuffled_host_splits, lr_fit_coefficients, lr_test_metrics, cross_validation, group_folds, permutation, ablation, response_curve, attribution, edit_stress, review_manifest)
 }
 ORACLE: dict[str, str] = {}
+_SITE = r"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(coalesce(nullif(trim(hostname), ''), regexp_extract(href, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1)), '\s+', ' ', 'g'))), ':\d*$', ''), '\.+$', ''), ':\d*$', ''), '^www\.', ''), '')"
+ORACLE["shuffled_host_splits"] = f"WITH h AS (SELECT DISTINCT {_SITE} AS site FROM quality_flags WHERE category IN ('top', 'bottom')), n AS (SELECT count(*) AS n FROM h WHERE site IS NOT NULL), r AS (SELECT row_number() OVER (ORDER BY md5('42:' || site)) - 1 AS r FROM h WHERE site IS NOT NULL) SELECT CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.8) + floor(n * 0.1) THEN 'validation' ELSE 'test' END AS split, count(*) AS n_sites FROM r, n GROUP BY 1"

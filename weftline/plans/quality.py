@@ -141,7 +141,7 @@ def even_sample(s, d):
     t = table(s, d, "documents").select("doc_id")
     n = t.count()
     spots = t.sparkSession.createDataFrame([(int(round(i * (n - 1) / 10)),) for i in range(11)], "i BIGINT").distinct()
-    return t.withColumn("i", (F.row_number().over(W.orderBy("doc_id")) - 1).cast("bigint")).join(F.broadcast(spots), "i").select("i", "doc_id")
+    return stats.running_sums(t.withColumn("one", F.lit(1)), "doc_id", ["one"]).select("doc_id", F.col("before_one").cast("bigint").alias("i")).join(F.broadcast(spots), "i").select("i", "doc_id")
 
 
 def host_paired_difference(s, d):

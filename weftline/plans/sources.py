@@ -19,7 +19,7 @@ def provenance(s, d):
 def source_keys(s, d):
     """Raw rows named by file and row of the bottom label, looked up by key."""
     r = table(s, d, "raw").withColumnsRenamed({"source_file": "file_name", "source_row": "row_index"})
-    keys = r.where("citation_category = 'bottom' AND row_index % 10 = 0").select("file_name", "row_index")
+    keys = r.where("citation_category = 'bottom'").select("file_name", "row_index")
     return corpus.lookup_rows(r, keys).select("raw_id", "file_name", "row_index")
 
 
@@ -107,7 +107,7 @@ QUERIES = {
 }
 ORACLE = {
     "provenance": "SELECT count(*) AS n, count(*) AS places FROM raw",
-    "source_keys": "SELECT raw_id, source_file AS file_name, source_row AS row_index FROM raw WHERE (source_file, source_row) IN (SELECT (source_file, source_row) FROM raw WHERE citation_category = 'bottom' AND source_row % 10 = 0)",
+    "source_keys": "SELECT raw_id, source_file AS file_name, source_row AS row_index FROM raw WHERE (source_file, source_row) IN (SELECT (source_file, source_row) FROM raw WHERE citation_category = 'bottom')",
     "ndjson_round_trip": "SELECT count(*) AS n, count(DISTINCT snapshot_id) AS ids, count(href) AS with_href FROM snapshots",
     "csv_round_trip": "SELECT count(*) AS n, count(DISTINCT block_uid) AS ids FROM blocks WHERE text IS NOT NULL AND text <> ''",
     "parquet_round_trip": "SELECT count(*) AS n, 0 AS mismatches FROM (SELECT DISTINCT * FROM quality_flags)",
