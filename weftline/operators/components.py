@@ -4,7 +4,7 @@ Adjacency lists are hash-partitioned by node and cut into chunks, so that no lis
 node's degree. The seeds are the nodes whose hash is below that of all their neighbours, so every
 component has one, and a walk to the nearest is short whatever the nodes are called. All seeds expand concurrently, a level at a time; where two seeds meet, their pair goes into a
 smaller graph, whose components are found the same way. Everything stays in tables; the driver sees
-only counts.
+only counts. A level writes what it reached and what is new; where seeds met is read from these at the end.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, depth: int = 0)
     labels = keep.put(nodes.where(order(F.col("src")) < F.col("least")).selectExpr("src AS node", "src AS seed", "0 AS level"))
     if labels.isEmpty():
         return labels.selectExpr("node", "seed AS component")
-    meets: list[DataFrame] = []
+    steps: list[DataFrame] = []
     level = 0
     while True:
         reach = (
@@ -47,26 +47,18 @@ def connected_components(spark: SparkSession, edges: DataFrame, depth: int = 0)
             .select(F.explode("near").alias("node"), "seed")
             .distinct()
         )
-        reach = keep.put(reach.join(labels.selectExpr("node", "seed AS had"), "node", "left"))
-        first = reach.where("had IS NULL").groupBy("node").agg(F.min("seed").alias("seed"))
-        first = keep.put(first.withColumn("level", F.lit(level + 1)))
+        step = keep.put(reach.join(labels.selectExpr("node", "seed AS had"), "node", "left"))
+        first = keep.put(step.where("had IS NULL").groupBy("node").agg(F.min("seed").alias("seed")).withColumn("level", F.lit(level + 1)))
         owner = first.selectExpr("node", "seed AS won")
-        met = (
-            reach.join(owner, "node", "left")
-            .selectExpr("seed AS a", "coalesce(had, won) AS b")
-            .where("a <> b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        meets.append(keep.put(met))
-        keep.drop(reach)
+        steps.append(step.where("seed <> had OR had IS NULL").join(owner, "node", "left").selectExpr("seed AS a", "coalesce(had, won) AS b"))
         if first.isEmpty():
             break
         labels = labels.unionAll(first)
         level += 1
-    small = meets[0]
-    for more in meets[1:]:
-        small = small.unionAll(more)
+    met = steps[0]
+    for more in steps[1:]:
+        met = met.unionAll(more)
+    small = keep.put(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if small.isEmpty():
         return labels.selectExpr("node", "seed AS component")
     merged = connected_components(spark, small, depth + 1).selectExpr("node AS seed", "component AS merged")
