@@ -132,4 +132,12 @@ QUERIES = {
 }
 QUERIES |= split_queries.QUERIES
 #: The other operators read payloads or tokens, or chain seeds, none of which SQL can say; their tests use brute force.
-ORACLE: dict[str, str] = dict(split_queries.ORACLE)
+ORACLE: dict[str, str] = dict(split_queries.ORACLE) | {
+    # Characters give the same answer as tokens.
+    "p8_found": r"""WITH s AS (SELECT nullif(lower(trim(regexp_replace(source, '\s+', ' ', 'g'))), '') AS k, length(text) AS n FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')),
+t AS (SELECT k, sum(n) AS n FROM s GROUP BY 1), a AS (SELECT sum(n) AS n FROM s)
+SELECT source FROM mix_targets LEFT JOIN t ON k = lower(trim(source)), a WHERE coalesce(t.n, 0) * max_repeats < target_share * a.n""",
+    "p9_found": """WITH w AS (SELECT DISTINCT doc_id, md5_number(substr(text, p::BIGINT, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h, list(doc_id) AS ids FROM w GROUP BY 1 HAVING count(*) > 1), d AS (SELECT DISTINCT list_sort(ids) AS ids FROM s), a AS (SELECT ids, unnest(ids) AS x FROM d), b AS (SELECT x, unnest(ids) AS y FROM a)
+SELECT DISTINCT x AS doc_id_a, y AS doc_id_b FROM b WHERE x < y""",
+}

@@ -3,7 +3,7 @@
 Records that share a site or an author, directly or through others, form a group; a group lies in
 one split. Groups come from `components.connected_components` over a graph of sites and authors
 (not of records, so a site with a third of all rows is one node). Groups are assigned in the order
-of their hash, after the few largest have taken their places.
+of their hash.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from weftline.operators.components import connected_components
 from weftline.session import Scratch
 
 SPLITS = ("train", "validation", "test")
-LARGE_SHARE = 0.002  # groups of at least this share of the records are placed first; at most 500 exist
+ORDERS = 16  # hash orders of which the best is taken
 BUCKETS = 1024  # ranges of hash order
 
 
@@ -55,40 +55,54 @@ def broken_groups(groups: DataFrame) -> DataFrame:
     return groups.where("split IS NOT NULL").join(mixed, "group_id", "left_semi").select("raw_id")
 
 
+def _nearest_order(sizes: DataFrame, shares: list[float], total: int) -> int:
+    """Which of ORDERS hash orders of the groups comes nearest to the shares, judged by ranges of the order; the first of equal ones."""
+    spots = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.shiftrightunsigned(_place(k), 54).alias("bucket")) for k in range(ORDERS)]))
+    rows = sizes.select(spots.alias("s"), "size").groupBy("s.order", "s.bucket").agg(F.sum("size").alias("size")).collect()  # ORDERS x BUCKETS rows at most
+    filled: list[dict[int, int]] = [{} for _ in range(ORDERS)]
+    for r in rows:
+        filled[r["order"]][r["bucket"]] = r["size"]
+
+    def apart(k: int) -> float:
+        got, running = [0] * len(shares), 0
+        for bucket in sorted(filled[k]):
+            size = filled[k][bucket]
+            middle, edge, at = (running + size / 2) / total, 0.0, 0
+            while at < len(shares) - 1 and middle >= (edge := edge + shares[at]):
+                at += 1
+            got[at] += size
+            running += size
+        return sum(abs(g / total - w) for g, w in zip(got, shares))
+
+    return min(range(ORDERS), key=lambda k: (round(apart(k), 9), k))
+
+
+def _place(order: int) -> Column:
+    return F.xxhash64(F.lit(f"order {order}"), F.col("group_id"))
+
+
 def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     """(raw_id, group_id, split): a new assignment near `shares`, each group whole in one split.
 
-    Groups of at least LARGE_SHARE of the records are placed first, largest first, where most is still
-    wanting. The others follow in the order of the hash of their id: each goes where the middle of its
-    rows falls in the running sum of what the splits still want. Depends only on ids and sizes.
+    Groups stand in the order of a hash of their id; each goes where the middle of its rows falls in the running
+    sum. Of ORDERS such orders the one is taken that comes nearest to the shares, as a group with a third of
+    all rows makes some orders poor. Depends only on ids and sizes.
     """
     sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
-    total = int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0])
-    want = {name: shares.get(name, 0.0) * total for name in SPLITS}
-    large = sizes.where(F.col("size") >= max(2.0, LARGE_SHARE * total)).orderBy(F.desc("size"), "group_id").collect()  # at most 1 / LARGE_SHARE rows
-    placed: dict[int, str] = {}
-    for row in large:
-        name = max(SPLITS, key=lambda s: (want[s], -SPLITS.index(s)))
-        placed[row["group_id"]] = name
-        want[name] -= row["size"]
-    left = {name: max(0.0, value) for name, value in want.items()}
-    room = sum(left.values()) or 1.0
-    order = F.xxhash64(F.lit("order"), F.col("group_id"))
-    rest = sizes.where(F.col("size") < max(2.0, LARGE_SHARE * total)).select("group_id", "size", order.alias("place"), F.shiftrightunsigned(order, 54).alias("bucket"))
-    filled = {r["bucket"]: r["size"] for r in rest.groupBy("bucket").agg(F.sum("size").alias("size")).collect()}  # BUCKETS rows
-    before, running = {}, 0
+    total = max(1, int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]))
+    whole = sum(shares.get(name, 0.0) for name in SPLITS) or 1.0
+    wanted = [shares.get(name, 0.0) / whole for name in SPLITS]
+    order = _place(_nearest_order(sizes, wanted, total))
+    placed = sizes.select("group_id", "size", order.alias("place"), F.shiftrightunsigned(order, 54).alias("bucket"))
+    filled = {r["bucket"]: r["size"] for r in placed.groupBy("bucket").agg(F.sum("size").alias("size")).collect()}  # BUCKETS rows
+    before, running = [], 0
     for bucket in range(BUCKETS):
-        before[bucket] = running
+        before.append(running)
         running += filled.get(bucket, 0)
-    start = F.element_at(F.array(*[F.lit(before[b]) for b in range(BUCKETS)]), F.col("bucket").cast("int") + 1)
-    inside = F.sum("size").over(W.partitionBy("bucket").orderBy("place", "group_id"))
-    middle = (start + inside - F.col("size") / 2) * (room / max(1, running))
-    chosen = F.when(middle < left["train"], "train").when(middle < left["train"] + left["validation"], "validation").otherwise("test")
-    spread = rest.withColumn("split", chosen).select("group_id", "split")
-    if placed:
-        spark = groups.sparkSession
-        spread = spread.unionAll(spark.createDataFrame(list(placed.items()), "group_id BIGINT, split STRING"))
-    return groups.select("raw_id", "group_id").join(spread, "group_id").select("raw_id", "group_id", "split")
+    start = F.element_at(F.array(*[F.lit(b) for b in before]), F.col("bucket").cast("int") + 1)
+    middle = (start + F.sum("size").over(W.partitionBy("bucket").orderBy("place", "group_id")) - F.col("size") / 2) / total
+    chosen = F.when(middle < wanted[0], SPLITS[0]).when(middle < wanted[0] + wanted[1], SPLITS[1]).otherwise(SPLITS[2])
+    return groups.select("raw_id", "group_id").join(placed.select("group_id", chosen.alias("split")), "group_id").select("raw_id", "group_id", "split")
 
 
 def split_report(groups: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -73,7 +73,21 @@ res AS (
   FROM candidate_results, lim),
 items AS (SELECT * FROM blk WHERE length(text) > room UNION ALL SELECT * FROM res WHERE length(text) > room)
 """
+_LINKS = r"""
+WITH RECURSIVE h AS (SELECT raw_id, min(site) AS site FROM (SELECT raw_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(coalesce(nullif(trim(hostname), ''),
+    regexp_extract(href, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1)), '\s+', ' ', 'g'))), ':\d*$', ''), '\.+$', ''), ':\d*$', ''), '^www\.', ''), '') AS site FROM quality_flags WHERE raw_id IS NOT NULL) GROUP BY 1),
+n AS (SELECT DISTINCT raw_id, CASE WHEN lower(trim(split)) IN ('train', 'validation', 'test') THEN lower(trim(split)) END AS split,
+    regexp_replace(regexp_replace(lower(trim(regexp_replace(author, '\s+', ' ', 'g'))), '^by[:\s]\s*', ''), '^([^,]+?)\s*,\s*([^,]+)$', '\2 \1') AS name FROM raw_stress WHERE raw_id IS NOT NULL),
+r AS (SELECT raw_id, split, 's:' || site AS a, CASE WHEN name <> '' AND regexp_replace(name, '^(the|our)\s+', '') NOT IN
+    ('editorial team', 'editorial staff', 'editorial', 'editors', 'editor', 'staff', 'staff writer', 'admin', 'administrator', 'newsroom', 'guest writer', 'guest author', 'guest') THEN 'p:' || name END AS b FROM n LEFT JOIN h USING (raw_id)),
+e AS (SELECT DISTINCT a, b FROM r WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT DISTINCT b, a FROM r WHERE a IS NOT NULL AND b IS NOT NULL),
+walk(node, least) AS (SELECT a, a FROM e UNION SELECT e.b, walk.least FROM walk JOIN e ON e.a = walk.node WHERE walk.least < e.b),
+c AS (SELECT node, min(least) AS least FROM walk GROUP BY 1),
+g AS (SELECT raw_id, split, coalesce(least, a, b, 'r:' || raw_id) AS grp FROM r LEFT JOIN c ON c.node = coalesce(a, b)),
+one AS (SELECT raw_id, min(grp) AS grp, min(split) AS split FROM g GROUP BY 1)
+"""
 ORACLE = {
+    "p3_found": _LINKS + "SELECT raw_id FROM one WHERE split IS NOT NULL AND grp IN (SELECT grp FROM one WHERE split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)",
     "p5_found": _ITEMS
     + r"""SELECT item_kind, item_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\s\p{Z}。！？]'), lambda x: length(x))) > room THEN 'forced' ELSE 'natural' END AS cut_kind FROM items""",
 }
