@@ -18,10 +18,14 @@ _DEFAULTS = {
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench; on a cluster the caller's own session is used."""
+    """A session on this machine, for tests, the bench and the command line; on a cluster the caller's own session is used.
+
+    Its checkpoint folder is a temporary one, as its executors are on this machine too.
+    """
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("weftline")
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weftline-"))
     return builder.config("spark.sql.shuffle.partitions", shuffle_partitions).config("spark.driver.memory", memory).getOrCreate()
 
 
@@ -56,15 +60,14 @@ def setting(spark: SparkSession, folder: str, name: str) -> float:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a folder of our own where it is unset in local mode."""
+    """The shared folder for cut lineage that spark.checkpoint.dir names. Where it is unset, a session on one machine gets a folder of our own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = getattr(scratch_root, "own", None) or tempfile.mkdtemp(prefix="weftline-")
-    scratch_root.own = root
-    return root
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weftline-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -74,6 +77,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def hash_joins(spark: SparkSession, most: str = "64MB") -> None:
+    """Joins whose one side is small in every partition, as measured at run time, need no sort; a setting other than Spark's default is left alone."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(name, "0") in ("0", "0b"):
+        spark.conf.set(name, most)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a scan over all cores, where it has at most half as many partitions as there are cores.
 
