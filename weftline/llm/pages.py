@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.markup import Line, payload_lines
 from weftline.functions.names import site
-from weftline.session import small_batches, spread
+from weftline.session import hash_joins, small_batches, spread
 
 PAGE_SCHEMA = (
     "page_id BIGINT, site STRING, payload BIGINT, html BOOLEAN, title STRING, notice STRING, head BIGINT, bare BOOLEAN,"
@@ -148,6 +148,7 @@ def page_lines(raw: DataFrame) -> DataFrame:
     A page that shows nothing has no lines. Null and blank payloads, and rows without raw_id, have no row.
     """
     small_batches(raw.sparkSession)
+    hash_joins(raw.sparkSession)
     pages = raw.where(F.col("raw_id").isNotNull() & F.col("html_content").rlike(r"(?U)\S")).select("raw_id", site(F.col("hostname"), F.col("href")).alias("site"), "html_content")
     return spread(pages).mapInArrow(read_pages, PAGE_SCHEMA)
 
