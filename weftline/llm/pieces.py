@@ -107,14 +107,14 @@ def split_oversized(items: DataFrame, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                text, limit = row["text"], row["room"]
-                kind = "forced" if has_forced(text, limit) else "natural"
-                spans = pieces(text, limit, min(overlap, limit - 1))
-                yield pa.RecordBatch.from_pylist(
-                    [{"item_kind": row["item_kind"], "item_id": row["item_id"], "cut_kind": kind, "piece": i, "start": a, "end": b, "text": text[a:b]} for i, (a, b) in enumerate(spans)],
-                    schema=_ARROW,
-                )
+            for lo in range(0, batch.num_rows, 256):
+                out = []
+                for row in batch.slice(lo, 256).to_pylist():
+                    text, limit = row["text"], row["room"]
+                    kind = "forced" if has_forced(text, limit) else "natural"
+                    for i, (a, b) in enumerate(pieces(text, limit, min(overlap, limit - 1))):
+                        out.append({"item_kind": row["item_kind"], "item_id": row["item_id"], "cut_kind": kind, "piece": i, "start": a, "end": b, "text": text[a:b]})
+                yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     return items.select("item_kind", "item_id", "text", "room").mapInArrow(run, _DDL)
 

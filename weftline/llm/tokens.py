@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +38,13 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
 def with_tokens(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """The table's other columns and `n_tokens` in place of the text, which goes no further."""
     others = [c for c in df.columns if c not in (text, "n_tokens")]
+    name = os.path.basename(path)
+    df.sparkSession.sparkContext.addFile(path)  # the vocabulary comes to the executors with the job
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField("n_tokens", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.array([count_tokens(t.as_py(), path) for t in batch.column(0)], pa.int32())
+            sizes = pa.array([count_tokens(t.as_py(), SparkFiles.get(name)) for t in batch.column(0)], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes], names=[*others, "n_tokens"])
 
     return df.select(text, *others).mapInArrow(run, schema)
