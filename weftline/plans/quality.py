@@ -288,7 +288,7 @@ _PERSON = rf"CASE WHEN {_NAME} <> '' AND regexp_replace(regexp_replace({_NAME},
 _STYLE = {
     "missing_or_blank": r"NOT regexp_matches(p, '[^\s\p{Z}]')", "contains_question_mark": "contains(p, '?') OR contains(p, '？')", "long_40plus_words": r"len(regexp_extract_all(p, '[\p{L}\p{N}_]+')) >= 40",
     "short_1to5_words": r"len(regexp_extract_all(p, '[\p{L}\p{N}_]+')) BETWEEN 1 AND 5", "contains_non_ascii": r"regexp_matches(p, '[^\x00-\x7f]')", "english_question_start": f"regexp_matches(p, '{text.QUESTION}')", "english_comparison_marker": f"regexp_matches(p, '{text.COMPARISON}')",
-    **{f"contains_{n}_block": f"regexp_matches(p, '{rx}')" for n, rx in quality.WRITING.items()},
+    **{f"contains_{n}_block": f"regexp_matches(p, '{quality.writing_pattern(n)}')" for n in quality.WRITING},
 }
 ORACLE = {
     "stratified_quota_sample": _F
