@@ -52,7 +52,7 @@ def _overlap(spark: SparkSession, folder: str) -> SplitOverlap:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of an evaluation record and a training record with nearly the same body."""
-    pairs = _overlap(spark, folder).pairs()
+    pairs = _overlap(spark, folder).linked()
     return pairs.select(F.least("eval_id", "train_id").alias("raw_id_a"), F.greatest("eval_id", "train_id").alias("raw_id_b")).distinct()
 
 
