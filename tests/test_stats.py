@@ -84,3 +84,25 @@ def test_sources(spark):
     df = spark.createDataFrame([("a",), (None,)], "t STRING")
     assert [r.answer for r in through_process(df, "t", ["/no/such/program"], str).collect()] == [None, None]
     assert {r.answer for r in through_process(df, "t", ["cat"], str.strip).collect()} == {'"a"', None}
+
+
+def test_promotion_gate():
+    assert model.promotion_gate(0.1, 0.7, 0.68, 0.01, 0.05) == []
+    assert len(model.promotion_gate(0.5, 0.6, 0.68, 0.05, 0.05)) == 3
+
+
+def test_running_sums_equal_one_window(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(round(v, 2)), int(n)) for v, n in zip(rng.normal(size=2000), rng.integers(0, 9, 2000))] + [(None, 3)]
+    df = spark.createDataFrame(rows, "v DOUBLE, n INT")
+    for r in stats.running_sums(df, "v", ["n"]).collect():
+        want = 0 if r.v is None else 3 + sum(n for v, n in rows if v is not None and v < r.v)
+        assert r.before_n == want
+    assert stats.running_sums(df.limit(0), "v", ["n"]).isEmpty()
+
+
+def test_paired_auc_delta(spark):
+    rows = [(g, int(g % 2 == 0), 0.5, 0.9 if g % 2 == 0 else 0.1) for g in range(40)]
+    df = spark.createDataFrame(rows, "g INT, y INT, old DOUBLE, new DOUBLE")
+    r = stats.auc_delta(df, "g", "y", "old", "new", 40).collect()[0]
+    assert (r.estimate, r.low, r.high) == (0.5, 0.5, 0.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,9 +124,22 @@ class PrincipalComponents:
                     total, outer, n = total + x.sum(0), outer + x.T @ x, n + len(x)
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()]), pa.array([outer.ravel().tolist()])], names=["n", "total", "outer"])
 
-        parts = df.select(vector).mapInArrow(sums, "n BIGINT, total ARRAY<DOUBLE>, outer ARRAY<DOUBLE>").toLocalIterator()
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, outer, n = np.zeros(size), np.zeros(size * size), 0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    n += batch.column(0)[i].as_py()
+                    total += batch.column(1)[i].values.to_numpy()
+                    outer += batch.column(2)[i].values.to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64())), pa.array([outer], pa.list_(pa.float64()))], names=["n", "total", "outer"])
+
+        ddl = "n BIGINT, total ARRAY<DOUBLE>, outer ARRAY<DOUBLE>"
+        tasks = df.select(vector).mapInArrow(sums, ddl)
+        # Matrices of the tasks are added on the executors, in as many groups as the root of their number, before the driver sees them.
+        groups = max(1, math.isqrt(df.rdd.getNumPartitions()))
+        parts = tasks.repartition(groups).mapInArrow(merged, ddl).toLocalIterator()
         n, total, outer = 0, np.zeros(size), np.zeros(size * size)
-        for p in parts:  # one matrix of the vectors' width a task, one at a time
+        for p in parts:  # one matrix a group, one at a time
             n, total, outer = n + p["n"], total + np.array(p["total"]), outer + np.array(p["outer"])
         self.mean = total / max(1, n)
         cov = outer.reshape(size, size) / max(1, n) - np.outer(self.mean, self.mean)

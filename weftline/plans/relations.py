@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import blocks as tree
 from weftline.operators import relations as ops
-from weftline.session import table
+from weftline.session import Scratch, table
+from weftline.sources import corpus
 
 
 def _once(s, d):
@@ -225,6 +226,14 @@ def config_faults(s, d):
     return table(s, d, "run_config").select("param", "unit", good.alias("good"))
 
 
+def matrix_round_trip(s, d):
+    """A dense matrix written as an array column, with its ids, and read again."""
+    path = f"{Scratch(s, 'matrix').base}/matrix"
+    corpus.write_table(table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("row")), path)
+    total = F.aggregate("row", F.lit(0.0), lambda a, v: a + v)
+    return s.read.parquet(path).select("vec_id", F.size("row").cast("bigint").alias("width"), F.round(total, 4).alias("total"))
+
+
 def robust_view(s, d):
     """Words, headings and blocks of each document, with unsupported headings left out."""
     b = tree.distinct_blocks(table(s, d, "blocks"))
@@ -239,7 +248,7 @@ QUERIES = {
     for f in (
         bounded_scan, table_schema, frozen_snapshots, view_units, smallest_snapshots, aligned_features, join_faults, imported_splits, common_population, overlap_rollup, attempt_resources, url_collapse, measure_quantiles,
         embedding_sizing, matched_by_prompt, extraction_accounting, validation_sample, report_queries, record_places, best_variant, latest_jobs, usage_sums, united_batches, content_identities, locator_diagnostics, structure_checks,
-        projection_disjointness, training_manifests, provenance_faults, config_faults, robust_view,
+        projection_disjointness, training_manifests, provenance_faults, config_faults, matrix_round_trip, robust_view,
     )
 }
 
@@ -276,5 +285,6 @@ ORACLE = {
     "projection_disjointness": f"WITH {_Q}, x AS (SELECT DISTINCT r.raw_id, payload_hash, hostname, lower(trim(split)) = 'train' AS train FROM raw_stress r JOIN (SELECT snapshot_id, payload_hash FROM snapshots) USING (snapshot_id) JOIN (SELECT raw_id, hostname FROM q) USING (raw_id) WHERE split IS NOT NULL), a AS (SELECT 'content' AS key, bool_or(train) <> bool_and(train) AS mixed FROM x WHERE payload_hash IS NOT NULL GROUP BY payload_hash UNION ALL SELECT 'host', bool_or(train) <> bool_and(train) FROM x WHERE hostname IS NOT NULL GROUP BY hostname) SELECT key, count(*) AS n, count(*) FILTER (mixed) AS both FROM a GROUP BY 1",
     "training_manifests": f"WITH {_B}, p AS (SELECT DISTINCT snapshot_id, lower(trim(split)) AS split FROM raw_stress WHERE snapshot_id IS NOT NULL), u AS (SELECT block_type, snapshot_id || ':' || method || ':' || block_id AS unit, min(md5(text)) AS c, bool_or(split IS NULL OR split <> 'train') AS out FROM b JOIN p USING (snapshot_id) WHERE text IS NOT NULL GROUP BY 1, 2), k AS (SELECT block_type, c, count(*) AS n, count(*) FILTER (out) AS outs FROM u GROUP BY 1, 2), g AS (SELECT block_type, sum(n)::BIGINT AS eligible, sum(outs)::BIGINT AS held_out, coalesce(sum(n - outs) FILTER (outs > 0), 0)::BIGINT AS repeated FROM k GROUP BY 1) SELECT *, eligible - held_out - repeated AS train, eligible - held_out - repeated >= 33 AS enough FROM g",
     "provenance_faults": "SELECT 'source_file' AS fault, count(*) FILTER (source_file IS NULL) AS n FROM raw UNION ALL SELECT 'source_row', count(*) FILTER (source_row IS NULL OR source_row < 0) FROM raw UNION ALL SELECT 'address', count(*) FILTER (href IS NULL AND hostname IS NULL) FROM raw UNION ALL SELECT 'label', count(*) FILTER (citation_category IS NULL OR citation_category NOT IN ('top', 'bottom')) FROM raw UNION ALL SELECT 'late', count(*) FILTER (ingested_at < scraped_at) FROM raw",
+    "matrix_round_trip": "SELECT vec_id, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
     "config_faults": "SELECT param, unit, CASE WHEN contains(param, 'share') OR contains(param, 'same') THEN amount BETWEEN 0 AND 1 ELSE amount >= 1 AND amount = floor(amount) END AS good FROM run_config",
 }
