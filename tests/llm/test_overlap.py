@@ -168,3 +168,17 @@ def test_records_of_one_payload_are_one_text(spark, make_raw):
     snapshots = spark.createDataFrame([("s", "p"), ("s", "p"), (None, "q"), ("t", None)], "snapshot_id STRING, payload_hash STRING")
     out = SplitOverlap(spark, raw, stress, spark.createDataFrame([], FLAGS), 300, 0.7, snapshots)
     assert {(r.eval_id, r.train_id) for r in out.pairs().collect()} == {(1, 0), (2, 0), (3, 0)}
+
+
+def test_no_pair_is_lost_to_common_runs(spark, make_raw):
+    """Every fourth character of texts over few characters differs: what they have in common is short and stands in many texts."""
+    rng = random.Random(12)
+    stock = [chr(0x4E00 + i) for i in range(12)]
+    base = [[rng.choice(stock) for _ in range(320)] for _ in range(60)]
+    texts = [t for b in base for t in (b, edited(rng, b, 4, lambda: rng.choice(stock)))]
+    raw = make_raw([(i, f"h{i % 7}.test", f"<html><body><p>{''.join(t)}</p></body></html>") for i, t in enumerate(texts)])
+    splits = [(i, "test" if i % 2 else "train", "m") for i in range(len(texts))]
+    out = SplitOverlap(spark, raw, spark.createDataFrame(splits, STRESS), spark.createDataFrame([], FLAGS), 300, 0.7)
+    got = {(r.eval_id, r.train_id) for r in out.pairs().collect()}
+    want = {(i, j) for i in range(1, len(texts), 2) for j in range(0, len(texts), 2) if common_words(texts[i], texts[j]) >= 0.7 * 320}
+    assert got == want and len(want) >= 60
