@@ -1,9 +1,12 @@
+import random
+from html.parser import HTMLParser
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from weftline.functions import dom
+from weftline.functions import dom, markup
 from weftline.functions.markup import is_html, payload_lines
 from weftline.functions.text import normalized_tokens, read_path, split_bytes
 
@@ -95,3 +98,30 @@ def test_normal_tokens(spark):
     got = {r.t: r.n for r in df.collect()}
     assert {k: v for k, v in got.items() if v != cases[k]} == {}
     assert spark.createDataFrame([(None,)], "t STRING").select(normalized_tokens(F.col("t"))).collect()[0][0] == []
+
+
+def test_one_loop_reads_as_the_library_does(monkeypatch):
+    """Odd and broken markup gives what the library's own loop gives; of plain markup nothing is left to it."""
+    parts = [
+        "<p>", "</p>", "<br/>", "<a href='x>y'>", "</a>", "<h1 class=a>", "</h1 >", "<!-- c -->", "<!-- c", "<!--", "<!doctype html>", "<!x>", "<![CDATA[q]]>", "<?pi?>", "<", "</", "</ >", "< p>", "&amp;", "&am", "&#65;", "&",
+        "<script>", "</script>", "<script/>", "if (a<b) </p>", "<style>", "</style >", "<title>", "</title>", "<head>", "</head>", "<noscript>", "</noscript>", "<pre>", "</pre>", "<code>", "</code>", " ", "\n", "word", "two words", "<td", "<b x=\"",
+    ]
+
+    class Plain(markup._LineReader):
+        goahead = HTMLParser.goahead
+
+    def read(kind, text):
+        reader = kind()
+        reader.feed(text)
+        reader.finish()
+        return reader.title, reader.lines, reader.notice
+
+    rng = random.Random(4)
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert read(markup._LineReader, text) == read(Plain, text), text
+    left = []
+    library = HTMLParser.goahead
+    monkeypatch.setattr(HTMLParser, "goahead", lambda self, end: (left.append(self.rawdata), library(self, end))[1])
+    read(markup._LineReader, "<!doctype html><html><head><title>T</title><script>a<b</script></head><body><!-- c --><p class=x>One <b>two</b> &amp; three</p></body></html>")
+    assert left == ["", ""]

@@ -80,7 +80,17 @@ class _Slots(dict):
         return slot
 
 
-_SLOTS = _Slots()
+class _SoftSlots(dict):
+    """Slots of the words of longer pages met before, up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        slot = self[word] = _slot("f " + word) + DIMENSIONS // 2
+        return slot
+
+
+_SLOTS, _SOFT = _Slots(), _SoftSlots()
 
 
 def shape(token: str) -> str:
@@ -94,7 +104,8 @@ def own_texts(page: Page, plain: str | None, notice: str) -> list[str]:
     In lines that are links to other pages or remarks, the site's visitors or other pages speak; they aren't the page's own.
     """
     prose = plain.split("\n") if plain is not None else None
-    lines = zip(page.texts, page.code, body_flags(page), line_weights(page))
+    weights = line_weights(page)
+    lines = zip(page.texts, page.code, body_flags(page, weights), weights)
     texts = [(prose[i] or t) if prose else t for i, (t, c, b, w) in enumerate(lines) if b and not c and w == 1.0]
     return texts or ([notice] if notice else [])
 
@@ -113,7 +124,7 @@ def describe(title: str, texts: list[str]) -> list[int]:
             found.update(f"b {a} {b}" for a, b in zip(words, words[1:]))
             found.add(f"b line {words[0]} {words[-1]} {len(words)}" if words and len(words) < 4 else "b line")
         else:
-            soft.update(["f " + w for w in low.split()])
+            soft.update(low.split())
         if _ODD.search(text):
             tokens = text.split()
             for i, token in enumerate(tokens):
@@ -127,7 +138,7 @@ def describe(title: str, texts: list[str]) -> list[int]:
         if kind == "b":
             found.update(f"t {'#' if w.isdigit() else w}" for w in _WORDS.findall(title.lower()))
         found.add(f"title {kind} {title in texts}")
-    return sorted({_SLOTS[f] for f in found} | {_SLOTS[f] + DIMENSIONS // 2 for f in soft})
+    return sorted({_SLOTS[f] for f in found} | {_SOFT[w] for w in soft})
 
 
 def is_filler(text: str) -> bool:
